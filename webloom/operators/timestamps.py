@@ -124,13 +124,13 @@ def _days(y: Column, m: Column, d: Column) -> Column:
     return era * 146097 + yoe * 365 + F.floor(yoe / 4) - F.floor(yoe / 100) + doy - 719468
 
 
-def instants(df: DataFrame, text: str, zone: str, order: str, abbreviations: str, out: str = "utc_ms", ambiguous: str = "first", nonexistent: str = "null") -> DataFrame:
+def instants(df: DataFrame, text: str, zone: str, order: str, abbreviations: str, out: str = "utc_ms", ambiguous: str = "first", nonexistent: str = "null", only_instants: bool = False) -> DataFrame:
     """Add ``out``, the Unix time in milliseconds that column ``text`` means, or null.
 
     zone, order, abbreviations: columns with the source's zone, its date order ("dmy" or "mdy") and the map of
     zone_abbreviations; null in them leaves texts without an own zone, or with slashes, undecided (null).
     Null or empty text, text in no known format, days or times that don't exist and the instant zero give null.
-    Rows are neither dropped nor repeated; columns of df may have any names other than ``out``.
+    Rows are neither dropped nor repeated (with ``only_instants`` those without an instant are dropped); columns of df may have any names other than ``out``.
     """
     if ambiguous not in ("first", "last", "null") or nonexistent not in ("null", "shift"):
         raise ValueError("ambiguous: first, last or null; nonexistent: null or shift")
@@ -161,7 +161,7 @@ def instants(df: DataFrame, text: str, zone: str, order: str, abbreviations: str
         last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
         sound = t["known"] & (y >= 1) & m.between(1, 12) & (day >= 1) & (day <= last) & t["h"].isNotNull() & (t["mi"] < 60) & (t["se"] < 60)
         part = lambda i: F.regexp_extract(z, r"^(?:UTC|GMT)?([+-])(\d{1,2}?):?(\d{2})?$", i)
-        oh, om = part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(0))
+        oh, om = _int(part(2)), F.coalesce(_int(part(3)), F.lit(0))
         offset = F.when((oh <= 18) & (om < 60), (oh * 3600 + om * 60) * F.when(part(1) == "-", -1).otherwise(1))
         named = F.when(z.rlike("^[A-Z]+$"), F.coalesce(F.when(~z.isin("Z", "UTC", "GMT", "UT"), F.try_element_at(abbr_, z)), F.try_element_at(usual, z)))
         region = F.when(z.contains("/"), F.lower(z)).when(r.contains("/"), r)
@@ -187,14 +187,18 @@ def instants(df: DataFrame, text: str, zone: str, order: str, abbreviations: str
 
     def whole(s: Column) -> Column:
         return (
-            F.when(s.rlike(r"^\d{10}$"), s.try_cast("bigint") * 1000)
-            .when(s.rlike(r"^\d{13}$"), s.try_cast("bigint"))
-            .when(s.rlike(r"^\d{16}$"), F.floor(s.try_cast("bigint") / 1000))
+            F.when(s.rlike(r"^\d{10}$"), s.cast("bigint") * 1000)
+            .when(s.rlike(r"^\d{13}$"), s.cast("bigint"))
+            .when(s.rlike(r"^\d{16}$"), F.floor(s.cast("bigint") / 1000))
             .otherwise(_let(_let(_let(parsed_fields(s), read), place), resolve))
         )
 
     ms = _let(tidy(F.col(f"`{text}`")), whole)
-    return df.withColumn(out, F.nullif(ms, F.lit(0)).cast("bigint"))
+    done = df.withColumn(out, F.nullif(ms, F.lit(0)).cast("bigint"))
+    if not only_instants:
+        return done
+    # the row number keeps the optimizer from pushing the filter below, which would parse every text twice
+    return done.withColumn("__row", F.monotonically_increasing_id()).where((F.col("__row") >= 0) & F.col(out).isNotNull()).drop("__row")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

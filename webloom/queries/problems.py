@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
         t = table(spark, folder, name).select(F.lit(name).alias("src_table"), "rec_id", F.col(column).alias("text"), "node")
         rows = t if rows is None else rows.unionByName(t)
     zoned = with_source_zone(rows, table(spark, folder, "crawl_nodes"))
-    return instants(zoned, "text", "tz_name", "date_order", "abbreviations").where("utc_ms is not null").select("src_table", "rec_id", "utc_ms")
+    return instants(zoned, "text", "tz_name", "date_order", "abbreviations", only_instants=True).select("src_table", "rec_id", "utc_ms")
 
 
 def p1_formats(spark: SparkSession, folder: str) -> DataFrame:
