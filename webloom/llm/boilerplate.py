@@ -21,17 +21,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.site_lines import line_keys
+from webloom.llm.site_lines import line_keys, repeated_lines
 from webloom.llm.words import word_lists
 from webloom.plans.workspace import staged
 
-LABELLED_PAGES = 40_000
-PRICE, CLIP, PARAGRAPH = 1.0, 3.0, 12
+LABELLED_PAGES = 12_000
+PRICE, CLIP, PARAGRAPH, REPEATED = 1.0, 3.0, 12, 5
 
 _SEPARATORS = re.compile(r"[|·»>/]|  |::")
 _ITEM = re.compile(r"\s*(?:[-*•▸]|\d+[.)]?\s)")
 _TITLELIKE = re.compile(r"^[^.!?…]{4,90}$")
 
+_TAGS = re.compile(r"^#\w+(?:\s+#\w+)*$")
+_GOODS = re.compile(r"-\d+ ?%|\bSKU\d|\d[.,]\d\d$")
+_LINK = re.compile(r"^»|\bhttps?://|^www\.")
+
 
 def site_names(host: str | None) -> set[str]:
     """Labels of a host name that can be the site's name."""
@@ -56,21 +60,24 @@ def marks(page: Page, counts: list[int]) -> list[list[str]]:
     texts = [page.lines[i].strip() for i in page.filled]
     body = [k for k, (x, n) in enumerate(zip(texts, counts)) if n >= PARAGRAPH and x[-1] in ".!?…”»“\"'"]
     first, last = (body[0], body[-1]) if body else (len(texts), -1)
+    start = page.title[:4]
     for k, (x, n) in enumerate(zip(texts, counts)):
+        m = ["#zone" + ("p" if n >= PARAGRAPH and first <= k <= last else "h" if k < first else "t" if k > last else "b"), "#end" + (x[-1] if x[-1] in ".!?…:,;”»“)" else "0" if x[-1].isdigit() else "a"), f"#len{min(n, 40).bit_length()}"]
+        out.append(m)
         low = x.lower()
-        zone = "p" if n >= PARAGRAPH and first <= k <= last else "h" if k < first else "t" if k > last else "b"
-        m = ["#zone" + zone, "#end" + (x[-1] if x[-1] in ".!?…:,;”»“)" else "0" if x[-1].isdigit() else "a"), f"#len{min(n, 40).bit_length()}", f"#sep{min(len(_SEPARATORS.findall(x)), 3)}"]
+        if page.names and any(name in low for name in page.names):
+            m.append("#site")
+        if n >= PARAGRAPH and x[-1] in ".!?…":
+            continue
+        m.append(f"#sep{min(len(_SEPARATORS.findall(x)), 3)}")
         if "©" in x:
             m.append("#copy")
         if x.isupper() and n > 1:
             m.append("#upper")
-        if _ITEM.match(page.lines[page.filled[k]]):
+        if _ITEM.match(x):
             m.append("#item")
-        if page.names and any(name in low for name in page.names):
-            m.append("#site")
-        if n > 1 and len(page.title) > 8 and page.title.startswith(" ".join(low.split())):
+        if n > 1 and len(page.title) > 8 and low.startswith(start) and page.title.startswith(" ".join(low.split())):
             m.append("#title")
-        out.append(m)
     return out
 
 
@@ -120,9 +127,15 @@ def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts
         s = scores[a:z].tolist()
         gone = [not x for x in kept_runs(s)]
         n = counts[a:z].tolist()
-        texts = [" ".join(p.lines[i].split()) for i in p.filled]
-        short = [m < PARAGRAPH and bool(_TITLELIKE.match(x)) and not _ITEM.match(x) for x, m in zip(texts, n)]
-        own = [bool(p.title) and len(x) > 8 and p.title.startswith(x.lower()) for x in texts]
+        texts = [p.lines[i].strip() if m < PARAGRAPH else "" for i, m in zip(p.filled, n)]
+        short = [bool(x) and bool(_TITLELIKE.match(x)) and not _ITEM.match(x) for x in texts]
+        start = p.title[:4]
+        own = [len(x) > 8 and len(p.title) > 8 and x.lower().startswith(start) and p.title.startswith(" ".join(x.lower().split())) for x in texts]
+        for kind in (_TAGS, _GOODS, _LINK):
+            same = [q for q, x in enumerate(texts) if gone[q] and x and kind.search(x)]
+            if len(same) >= 5:  # tags, goods or links line after line are the page's matter, such as it is
+                for q in same:
+                    gone[q] = False
         k = 0
         while k < len(texts):
             # a heading of furniture with headlines below it: a list of other stories
@@ -157,7 +170,7 @@ def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: i
     labels = seen.groupBy("ident").agg(F.collect_list(F.struct("pos", (F.col("n") >= least).alias("f"))).alias("labels"))
     sample = staged(sample.join(labels, "ident", "left"), "labelled-lines")
     weights: dict[str, float] = {}
-    for _ in range(3):
+    for _ in range(2):
         sent = df.sparkSession.sparkContext.broadcast(dict(weights))
 
         def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -200,11 +213,15 @@ def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: i
 def furniture_lines(df: DataFrame, ident: str, host: str, title: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Columns ident and line_no of every line that is furniture; blank lines never are.
 
+    To be repeated in ``REPEATED`` different texts of the site is a mark that outweighs all words: standing notices may read like any
+    sentence.  Those lines are found by their keys alone and united with the scanned ones, so that page texts need no shuffle.
+
     Null idents and null or empty texts have no rows; a null title or host only takes away its hint; repeated rows count once.
     """
     weights = fit(df, ident, host, title, text) if weights is None else weights
     rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
     sent = df.sparkSession.sparkContext.broadcast(weights)
+    again = repeated_lines(rows, "ident", "host", "text", REPEATED, min_clusters=REPEATED)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -219,4 +236,4 @@ def furniture_lines(df: DataFrame, ident: str, host: str, title: str, text: str,
                     line += hit
                 yield pd.DataFrame({"ident": pd.Series(who, dtype=b["ident"].dtype), "line_no": np.array(line, np.int32)})
 
-    return rows.mapInPandas(mark, f"ident {rows.schema['ident'].dataType.simpleString()}, line_no int").distinct().withColumnRenamed("ident", ident)
+    return rows.mapInPandas(mark, f"ident {rows.schema['ident'].dataType.simpleString()}, line_no int").unionByName(again).distinct().withColumnRenamed("ident", ident)
