@@ -31,6 +31,7 @@ i w z na się nie że do jest są był o po za gdy już lecz według pod
 """.split())
 
 WINDOW, LAGS, RECURRING, REGULAR, FUNCTION_SHARE, SHARE, LOOK = 24, 12, 0.4, 0.25, 0.06, 0.5, 0.2
+_LIST = re.compile(r"::|\s[|»-]\s|#\w|,.*,.*,.*,")
 _LINK = re.compile(r"\bhttps?://\S+|\bwww\.\S+")
 
 
@@ -63,7 +64,8 @@ def stuffed_lines(lines: list[str], pages: np.ndarray) -> tuple[np.ndarray, np.n
             regular = np.maximum(regular, np.bincount(line[lag:], hit, n) / per)
     functions = np.bincount(line, f, n) / per
     link = np.array([bool(_LINK.search(x)) for x in lines], bool)
-    stuffed = ((counts >= 2) & (functions < FUNCTION_SHARE)) | ((counts >= PARAGRAPH) & ((recurring > RECURRING) | (regular > REGULAR))) | link
+    sentence = np.array([x.rstrip()[-1] in ".!?…”»" and not _LIST.search(x) for x in lines], bool)
+    stuffed = ((counts >= 2) & (functions < FUNCTION_SHARE) & ~(sentence & (counts >= 4))) | ((counts >= PARAGRAPH) & ((recurring > RECURRING) | (regular > REGULAR))) | link
     return stuffed & (counts > 0), counts
 
 
