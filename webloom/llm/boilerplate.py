@@ -159,12 +159,13 @@ def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts
 
 
 def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: int = LABELLED_PAGES, least: int = 5) -> dict[str, float]:
-    """Weights of words and marks, from at most ``labelled`` pages (those with the least hashes of their ident); the repetition that labels their lines is counted over all pages."""
+    """Weights of words and marks, from about ``labelled`` pages (drawn by a hash of their ident; all, if there are no more); the repetition that labels their lines is counted over all pages."""
     rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
     keyed = rows.select("ident", "host", line_keys(F.col("text"), F.coalesce("host", F.lit(""))).alias("keys"))
     counts = keyed.select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    sample = staged(rows.orderBy(F.xxhash64("ident"), "ident").limit(labelled), "labelled-pages")
+    share = labelled / max(rows.count(), 1)
+    sample = staged(rows.where(F.pmod(F.xxhash64("ident"), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))), "labelled-pages")
     places = sample.select("ident", "host", F.posexplode(line_keys(F.col("text"), F.coalesce("host", F.lit("")))).alias("pos", "key")).where("key is not null")
     seen = places.join(counts, "key").join(sizes, "host").where(f"n >= {least} or (n = 1 and pages >= 20)")
     labels = seen.groupBy("ident").agg(F.collect_list(F.struct("pos", (F.col("n") >= least).alias("f"))).alias("labels"))
