@@ -48,8 +48,8 @@ def score_stats(df: DataFrame) -> DataFrame:
     minute = F.floor(F.unix_timestamp(F.col("fetch_time").cast("timestamp")) / 60)
     iv = F.col("retry_interval_seconds")
     return df.agg(
-        F.count("*").alias("records"), F.min(s).alias("score_min"), F.max(s).alias("score_max"), (F.coalesce(F.sum(s), F.lit(0.0)) / F.count("*")).alias("score_avg"), F.count_if(F.isnan("score")).alias("score_nan"),
-        F.min(minute).alias("minute_min"), F.max(minute).alias("minute_max"), F.floor(F.sum(minute) / F.count(minute)).alias("minute_avg"), F.min(iv).alias("interval_min"), F.max(iv).alias("interval_max"), F.avg(iv).alias("interval_avg"),
+        F.count("*").alias("records"), F.min(s).alias("score_min"), F.max(s).alias("score_max"), F.try_divide(F.coalesce(F.sum(s), F.lit(0.0)), F.count("*")).alias("score_avg"), F.count_if(F.isnan("score")).alias("score_nan"),
+        F.min(minute).alias("minute_min"), F.max(minute).alias("minute_max"), F.floor(F.try_divide(F.sum(minute), F.count(minute))).alias("minute_avg"), F.min(iv).alias("interval_min"), F.max(iv).alias("interval_max"), F.avg(iv).alias("interval_avg"),
     )
 
 

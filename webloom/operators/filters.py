@@ -43,8 +43,8 @@ def valid(url: Column) -> Column:
     labels = host.rlike(r"^[a-z0-9]([a-z0-9-]*[a-z0-9])?(\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*\.[a-z]{2,}$")
     octets = host.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$")
     ups = F.regexp_count(path, F.lit(r"/\.\.(?=/|$)"))
-    downs = F.regexp_count(path, F.lit(r"/[^/]+")) - ups
-    return F.coalesce(protocol_of(url).isin("http", "https", "ftp") & (labels | octets) & ~url.rlike(r"[\s\x00-\x1f]|[^\x00-\x7f]") & (ups <= downs) & ~path.rlike("//"), F.lit(False))
+    level = F.regexp_count(path, F.lit("/")) - ups
+    return F.coalesce(protocol_of(url).isin("http", "https", "ftp") & (labels | octets) & ~url.rlike(r"[\s\x00-\x1f]|[^\x00-\x7f]") & ((ups == 0) | (level > ups)) & ~path.rlike("//"), F.lit(False))
 
 
 def _small(rules: DataFrame) -> DataFrame:

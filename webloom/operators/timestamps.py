@@ -207,6 +207,10 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def with_source_zone(df: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
-    """Join each row with its source's tz_name, date_order and zone abbreviations (null for unknown sources); Spark broadcasts the lookup if it is small enough."""
+    """Join each row with its source's tz_name, date_order and zone abbreviations (null for unknown sources); Spark broadcasts the lookup if it is small enough.
+
+    Columns of df with one of those three names are kept with ``_own`` added.
+    """
+    df = df.withColumnsRenamed({c: f"{c}_own" for c in ("tz_name", "date_order", "abbreviations") if c in df.columns})
     dim = nodes.dropDuplicates([node]).select(node, "tz_name", "date_order").withColumn("abbreviations", zone_abbreviations("tz_name"))
     return df.join(dim, node, "left")

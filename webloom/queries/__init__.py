@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("problems", "crawldb", "links", "hosts", "content", "export")
+MODULES = ("problems", "crawldb", "links", "content", "parsing")
 
 
 def _all(what: str) -> dict:
