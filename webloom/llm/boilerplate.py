@@ -120,8 +120,14 @@ def kept_runs(scores: list[float], price: float = PRICE) -> list[bool]:
     return keep
 
 
-def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts: np.ndarray) -> list[list[bool]]:
-    """For each page, whether each filled line is furniture."""
+def _recurring(line: str) -> bool:
+    """Whether a word of four letters or more makes up three tenths of the line."""
+    words = line.lower().split()
+    return len(words) >= 6 and max((n for w, n in Counter(words).items() if len(w) > 3), default=0) >= 0.3 * len(words)
+
+
+def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts: np.ndarray) -> list[tuple[list[bool], list[bool]]]:
+    """For each page, whether each filled line is furniture, and whether it is the page's own headline."""
     out = []
     for p, (a, z) in zip(pages, zip(offsets.tolist(), offsets[1:].tolist())):
         s = scores[a:z].tolist()
@@ -131,9 +137,9 @@ def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts
         short = [bool(x) and bool(_TITLELIKE.match(x)) and not _ITEM.match(x) for x in texts]
         start = p.title[:4]
         own = [len(x) > 8 and len(p.title) > 8 and x.lower().startswith(start) and p.title.startswith(" ".join(x.lower().split())) for x in texts]
-        for kind in (_TAGS, _GOODS, _LINK):
-            same = [q for q, x in enumerate(texts) if gone[q] and x and kind.search(x)]
-            if len(same) >= 5:  # tags, goods or links line after line are the page's matter, such as it is
+        for kind in (_TAGS.search, _GOODS.search, _LINK.search, _recurring):
+            same = [q for q, i in enumerate(p.filled) if gone[q] and kind(p.lines[i].strip())]
+            if len(same) >= 5:  # tags, goods, links or the same keyword line after line are the page's matter, such as it is
                 for q in same:
                     gone[q] = False
         k = 0
@@ -154,7 +160,7 @@ def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts
         for q, x in enumerate(own):
             if x:
                 gone[q] = False
-        out.append(gone)
+        out.append((gone, own))
     return out
 
 
@@ -230,11 +236,15 @@ def furniture_lines(df: DataFrame, ident: str, host: str, title: str, text: str,
                 b = whole.iloc[at : at + 512]
                 pages, offsets, vocabulary, t, o, words = page_features(b["host"].tolist(), b["title"].tolist(), b["text"].tolist())
                 scores = line_scores(vocabulary, t, o, int(offsets[-1]), sent.value)
-                who, line = [], []
-                for ident, p, gone in zip(b["ident"].tolist(), pages, furniture(pages, offsets, scores, words)):
-                    hit = [i + 1 for i, g in zip(p.filled, gone) if g]
+                who, line, flag = [], [], []
+                for ident, p, (gone, own) in zip(b["ident"].tolist(), pages, furniture(pages, offsets, scores, words)):
+                    hit = [(i + 1, g) for i, g, o in zip(p.filled, gone, own) if g or o]
                     who += [ident] * len(hit)
-                    line += hit
-                yield pd.DataFrame({"ident": pd.Series(who, dtype=b["ident"].dtype), "line_no": np.array(line, np.int32)})
-
-    return rows.mapInPandas(mark, f"ident {rows.schema['ident'].dataType.simpleString()}, line_no int").unionByName(again).distinct().withColumnRenamed("ident", ident)
+                    line += [i for i, _ in hit]
+                    flag += [g for _, g in hit]
+                yield pd.DataFrame({"ident": pd.Series(who, dtype=b["ident"].dtype), "line_no": np.array(line, np.int32), "gone": np.array(flag, bool)})
+
+    marked = rows.mapInPandas(mark, f"ident {rows.schema['ident'].dataType.simpleString()}, line_no int, gone boolean")
+    # a page's own headline stays, even if it differs from others of its site in numbers only
+    both = marked.unionByName(again.withColumn("gone", F.lit(True))).groupBy("ident", "line_no").agg(F.bool_and("gone").alias("gone"))
+    return both.where("gone").select(F.col("ident").alias(ident), "line_no")

@@ -95,7 +95,7 @@ def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weig
                 pages, offsets, vocabulary, t, o, words = page_features(c["host"].tolist(), c["title"].tolist(), c["text"].tolist())
                 gone = furniture(pages, offsets, line_scores(vocabulary, t, o, int(offsets[-1]), sent.value), words)
                 hit = []
-                for ident, p, a, z, g in zip(c["ident"].tolist(), pages, offsets, offsets[1:], gone):
+                for ident, p, a, z, (g, _) in zip(c["ident"].tolist(), pages, offsets, offsets[1:], gone):
                     g = np.array(g, bool)
                     own = words[a:z] * ~g
                     if (own * bad[a:z]).sum() > SHARE * own.sum() > 0:
