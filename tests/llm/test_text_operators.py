@@ -171,6 +171,25 @@ def test_garbled_round_trip(spark):
     assert charsets.garbled_lines(df.limit(0), "page_id", "host", "content", "title", hints, ("a", "b")).count() == 0
 
 
+def test_garbled_titles(spark):
+    rng = random.Random(11)
+    clean = ["Für Müller zählt nur die Größe", "Über die Brücke führt der schöne Weg", "Die Ärztin grüßt die müden Läufer"]
+    rows, want = [], set()
+    for p in range(120):
+        title, lines = rng.choice(clean), [rng.choice(clean) for _ in range(4)]
+        if p % 6 == 0:
+            want.add((p, 0, title))
+            want |= {(p, n, x) for n, x in enumerate(lines, 1)}
+            title, lines = charsets_break(title), [charsets_break(x) for x in lines]
+        rows.append((p, "h", title, "\n".join(lines)))
+    rows.append((500, "h", charsets_break(clean[0]), None))
+    want.add((500, 0, clean[0]))
+    df = pages(spark, rows)
+    found = charsets.garbled_lines(df, "page_id", "host", "content", "title", spark.createDataFrame([], "page_id long, a string, b string"), ("a", "b"))
+    assert {tuple(r) for r in charsets.repaired(df, "page_id", "content", found, "title").select("page_id", "line_no", "line").collect()} == want
+    assert {tuple(r) for r in charsets.repaired(df, "page_id", "content", found).select("page_id", "line_no", "line").collect()} == {x for x in want if x[1]}
+
+
 def charsets_break(line):
     table = charsets._table("cp1252")[0]
     return "".join(table[b] for b in line.encode())

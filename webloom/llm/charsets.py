@@ -171,10 +171,10 @@ def _posteriors(rows: pd.DataFrame, model: Model, prior: np.ndarray) -> tuple[np
 
 
 def garbled_lines(df: DataFrame, ident: str, source: str, text: str, title: str, hints: DataFrame, hint_columns: tuple[str, str]) -> DataFrame:
-    """Columns ident, line_no (INT, from 1) and chain (INT, index in CHAINS) of every garbled line of text.
+    """Columns ident, line_no (INT, from 1) and chain (INT, index in CHAINS) of every garbled line of text; a garbled title is line 0.
 
     hints: rows with ident and two columns of noted encodings, unreliable: missing, repeated, misspelt or wrong ones only weaken or
-    mislead a prior.  The title is read as one line more (evidence for its page), and isn't reported.  Null idents and texts
+    mislead a prior.  The title is read as one line more, which is evidence for its page too.  Null idents and texts
     have no rows; a null source or title is a source, or no line; ASCII lines are never garbled; repeated rows count once.
     """
     spark = df.sparkSession
@@ -264,7 +264,7 @@ def garbled_lines(df: DataFrame, ident: str, source: str, text: str, title: str,
                 own = np.array([x if x is not None else np.zeros(len(CHAINS)) for x in b[f"{kind}_shares"]], float)
                 prior += 0.5 * (own + SOURCE_LINES * start) / (own.sum(axis=1, keepdims=True) + SOURCE_LINES)
             post, who, number = _posteriors(b, model, prior)
-            bad = (post[:, 0] < 0.5) & (number > 0) if len(who) else np.zeros(0, bool)
+            bad = post[:, 0] < 0.5 if len(who) else np.zeros(0, bool)
             chain = post[bad, 1:].argmax(axis=1) + 1 if bad.any() else np.zeros(0, np.int64)
             yield pd.DataFrame({"ident": b["ident"].values[who[bad]] if bad.any() else b["ident"].values[:0], "line_no": number[bad].astype(np.int32), "chain": chain.astype(np.int32)})
 
@@ -281,10 +281,12 @@ def repair(line: str, chain: int) -> str:
     return RUNS.sub(one, line)
 
 
-def repaired(df: DataFrame, ident: str, text: str, found: DataFrame) -> DataFrame:
-    """Rows ident, line_no, line of the found lines (of garbled_lines) as first written."""
+def repaired(df: DataFrame, ident: str, text: str, found: DataFrame, title: str | None = None) -> DataFrame:
+    """Rows ident, line_no, line of the found lines (of garbled_lines) as first written, titles being line 0; without title only those of text."""
+    found = found if title else found.where("line_no > 0")
+    head = F.col(title) if title else F.lit(None).cast("string")
     per = found.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("line_no", "chain"))).alias("chains"))
-    joined = df.select(ident, text).join(per, ident).select(F.col(ident).alias("ident"), F.explode(F.transform(F.map_entries("chains"), lambda e: F.struct(e.key.alias("n"), e.value.alias("c"), F.get(F.split(text, "\n"), e.key - 1).alias("line")))).alias("x")).select("ident", "x.*")
+    joined = df.select(F.col(ident), F.col(text).alias("text"), head.alias("title")).join(per, ident).select(F.col(ident).alias("ident"), F.explode(F.transform(F.map_entries("chains"), lambda e: F.struct(e.key.alias("n"), e.value.alias("c"), F.when(e.key == 0, F.col("title")).otherwise(F.get(F.split("text", "\n"), e.key - 1)).alias("line")))).alias("x")).select("ident", "x.*")
 
     def fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
