@@ -232,6 +232,16 @@ def test_furniture(spark):
     assert furniture_lines(df.limit(0), "page_id", "host", "title", "content").count() == 0
 
 
+def test_furniture_of_copies(spark):
+    rng = random.Random(12)
+    say = lambda: " ".join(rng.choice(["zorb", "quix", "plim", "vask", "jund", "wemp"]) for _ in range(18)).capitalize() + "."
+    article = f"Home | News | About\nThe quix article\n{say()}\n{say()}\n{say()}\nShare this page\n© 2024 H. All rights reserved."
+    rows = [*make_site(60), *[(200 + i, "h0.example", "The quix article", article) for i in range(40)], (300, "h0.example", "More of it", f"Home | News | About\nMore of it\n{say()}\n{say()}\nShare this page")]
+    df = pages(spark, rows)
+    got = {tuple(r) for r in furniture_lines(df, "page_id", "host", "title", "content").collect()}
+    assert {x for x in got if x[0] >= 200} == {(200 + i, n) for i in range(40) for n in (1, 6, 7)} | {(300, 1), (300, 5)}
+
+
 def test_spam(spark):
     rows = make_site(40)
     spam = [(100, "h0.example", None, "\n".join("buy lamp cheap lamp best lamp online lamp sale lamp" for _ in range(8))), (101, "h1.example", "cheap", "\n".join(f"Lamp red SKU{i} -10% 9,99" for i in range(20))), (102, "h1.example", "x", "\n".join(f"www.a{i}.example/x" for i in range(20)))]

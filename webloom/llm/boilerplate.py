@@ -6,8 +6,8 @@ paragraphs ...) have weights too.  A linear scan then finds the set of contiguou
 each further run at a price, so that a notice between two paragraphs doesn't drag the second paragraph down with it.
 
 The weights come from labelled pages.  Nobody labels pages by hand here: in a sample of pages, bounded by a parameter, a line that
-stands in several pages of its site is furniture and a long line that stands in one page only is main text (both counted over all
-pages); the lines in between are labelled by the weights themselves in a second round.
+stands in several texts of its site is furniture and a long line that stands in one text only is main text (both counted over all
+pages, pages with the same text in one site as one); the lines in between are labelled by the weights themselves in a second round.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.site_lines import line_keys, repeated_lines
+from webloom.llm.site_lines import counted_lines, line_keys, places_of
 from webloom.llm.words import word_lists
-from webloom.plans.workspace import staged
+from webloom.plans.workspace import size_of, staged
 
 LABELLED_PAGES = 12_000
 PRICE, CLIP, PARAGRAPH, REPEATED = 1.0, 3.0, 12, 5
+BROADCAST_BYTES = 32 << 20
 
 _SEPARATORS = re.compile(r"[|·»>/]|  |::")
 _ITEM = re.compile(r"\s*(?:[-*•▸]|\d+[.)]?\s)")
@@ -164,17 +165,22 @@ def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts
     return out
 
 
-def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: int = LABELLED_PAGES, least: int = 5) -> dict[str, float]:
-    """Weights of words and marks, from about ``labelled`` pages (drawn by a hash of their ident; all, if there are no more); the repetition that labels their lines is counted over all pages."""
+def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: int = LABELLED_PAGES, least: int = REPEATED, counted: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, float]:
+    """Weights of words and marks, from about ``labelled`` pages (drawn by a hash of their ident, one of each text of a site; all, if there are no more); the repetition that labels their lines is counted over the texts of all pages.
+
+    counted: what counted_lines gave for df, if it is at hand.
+    """
     rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
-    keyed = rows.select("ident", "host", line_keys(F.col("text"), F.coalesce("host", F.lit(""))).alias("keys"))
-    counts = keyed.select(F.explode(F.array_distinct("keys")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    share = labelled / max(rows.count(), 1)
-    sample = staged(rows.where(F.pmod(F.xxhash64("ident"), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))), "labelled-pages")
-    places = sample.select("ident", "host", F.posexplode(line_keys(F.col("text"), F.coalesce("host", F.lit("")))).alias("pos", "key")).where("key is not null")
-    seen = places.join(counts, "key").join(sizes, "host").where(f"n >= {least} or (n = 1 and pages >= 20)")
-    labels = seen.groupBy("ident").agg(F.collect_list(F.struct("pos", (F.col("n") >= least).alias("f"))).alias("labels"))
+    _, clusters, counts = counted or counted_lines(rows, "ident", "host", "text")
+    sizes = clusters.groupBy("src").agg(F.count("*").alias("texts"))
+    share = labelled / max(clusters.count(), 1)
+    drawn = clusters.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))).select("src", F.struct(F.col("rep").alias("ident"), "sig_a", "sig_b").alias("which"))
+    drawn = staged(drawn.groupBy("which").agg(F.min("src").alias("src")), "drawn-texts")
+    signed = rows.withColumn("which", F.struct("ident", F.xxhash64("text").alias("sig_a"), F.hash("text").alias("sig_b")))
+    sample = staged(signed.join(F.broadcast(drawn) if size_of(drawn) <= BROADCAST_BYTES else drawn, "which").drop("which").dropDuplicates(["ident"]), "labelled-pages")
+    places = sample.select("ident", "src", F.posexplode(line_keys(F.col("text"), F.col("host"))).alias("pos", "key")).where("key is not null")
+    seen = places.join(counts, "key").join(sizes, "src").where(f"c >= {least} or (c = 1 and texts >= 20)")
+    labels = seen.groupBy("ident").agg(F.collect_list(F.struct("pos", (F.col("c") >= least).alias("f"))).alias("labels"))
     sample = staged(sample.join(labels, "ident", "left"), "labelled-lines")
     weights: dict[str, float] = {}
     for _ in range(2):
@@ -217,6 +223,12 @@ def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: i
     return weights
 
 
+def repeated_places(counted: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """Columns ident and line_no of the lines that are furniture for standing in ``REPEATED`` texts of their site; counted: of counted_lines."""
+    base, _, counts = counted
+    return places_of(base, counts.where((F.col("n") >= REPEATED) & (F.col("c") >= REPEATED)), "ident")
+
+
 def furniture_lines(df: DataFrame, ident: str, host: str, title: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Columns ident and line_no of every line that is furniture; blank lines never are.
 
@@ -225,10 +237,11 @@ def furniture_lines(df: DataFrame, ident: str, host: str, title: str, text: str,
 
     Null idents and null or empty texts have no rows; a null title or host only takes away its hint; repeated rows count once.
     """
-    weights = fit(df, ident, host, title, text) if weights is None else weights
     rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
+    counted = counted_lines(rows, "ident", "host", "text")
+    weights = fit(rows, "ident", "host", "title", "text", counted=counted) if weights is None else weights
     sent = df.sparkSession.sparkContext.broadcast(weights)
-    again = repeated_lines(rows, "ident", "host", "text", REPEATED, min_clusters=REPEATED)
+    again = repeated_places(counted)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
