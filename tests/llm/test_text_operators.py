@@ -250,6 +250,16 @@ def test_spam(spark):
     assert not stuffed_lines(["Some story missed the morning; others seemed quiet to the man."], np.zeros(1, int))[0].any()
 
 
+@pytest.mark.parametrize("words", [40])
+def test_spam_under_notices(spark, words):
+    rng = random.Random(13)
+    say = lambda n: " ".join(rng.choice(["the", "and", "of"]) if k % 3 == 0 else f"{rng.choice('bdfgklmn')}{rng.choice('aeiou')}{rng.choice('lrnst')}{rng.choice('aeiou')}t" for k in range(n)).capitalize() + "."
+    notice, stuffed = say(words), "buy lamp cheap lamp best lamp online lamp sale lamp"
+    rows = [(i, "h.example", None, f"{notice}\n{say(30)}") for i in range(8)] + [(100, "h.example", None, f"{notice}\n{stuffed}\n{stuffed}\n{say(12)}"), (101, "h.example", None, f"{notice}\n{stuffed}\n{say(25)}")]
+    keep = {f"#zone{x}": 1.0 for x in "phtb"}  # every line is text by its weights, as notices may be
+    assert [r[0] for r in spam_pages(pages(spark, rows), "page_id", "host", "title", "content", keep).collect()] == [100]
+
+
 def test_subjects(spark):
     rng = random.Random(9)
     terms = {"law": ["court", "ruling", "plaintiff", "statute"], "sport": ["striker", "goal", "referee", "league"], "food": ["dough", "oven", "garlic", "broth"]}

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import PARAGRAPH, fit, furniture, line_scores, page_features
+from webloom.llm.boilerplate import PARAGRAPH, fit, furniture, line_scores, page_features, repeated_places
+from webloom.llm.site_lines import counted_lines
 from webloom.llm.words import word_lists
 
 # Function words of the corpus languages (English, German, French, Spanish, Polish, Russian).
@@ -72,15 +73,18 @@ def stuffed_lines(lines: list[str], pages: np.ndarray) -> tuple[np.ndarray, np.n
 def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Column ident of every page of whose words outside furniture more than half stand in stuffed lines.
 
-    Furniture is told by the weights of webloom.llm.boilerplate.  Pages with a stuffed share of under ``LOOK`` of all words can't
+    Furniture is what furniture_lines of webloom.llm.boilerplate takes for it: lines told by the weights, and lines repeated in several
+    texts of the site unless they are the page's own headline.  Pages with a stuffed share of under ``LOOK`` of all words can't
     come to more than half without furniture of more than three fifths and are left out before the lines are scored.
     Null idents and null or empty texts give no row, repeated rows one.
     """
-    weights = fit(df, ident, host, title, text) if weights is None else weights
     rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
+    counted = counted_lines(rows, "ident", "host", "text")
+    weights = fit(rows, "ident", "host", "title", "text", counted=counted) if weights is None else weights
     sent = df.sparkSession.sparkContext.broadcast(weights)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Number, words and whether it is stuffed of each line that the weights leave, for pages with a stuffed one; an own headline has number 0, so that no repetition takes it."""
         for whole in batches:
             for at in range(0, len(whole), 512):
                 b = whole.iloc[at : at + 512]
@@ -94,12 +98,17 @@ def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weig
                 c, bad = b[look], bad[look[page]]
                 pages, offsets, vocabulary, t, o, words = page_features(c["host"].tolist(), c["title"].tolist(), c["text"].tolist())
                 gone = furniture(pages, offsets, line_scores(vocabulary, t, o, int(offsets[-1]), sent.value), words)
-                hit = []
-                for ident, p, a, z, (g, _) in zip(c["ident"].tolist(), pages, offsets, offsets[1:], gone):
-                    g = np.array(g, bool)
-                    own = words[a:z] * ~g
-                    if (own * bad[a:z]).sum() > SHARE * own.sum() > 0:
-                        hit.append(ident)
-                yield pd.DataFrame({"ident": pd.Series(hit, dtype=c["ident"].dtype)})
+                out = []
+                for ident, p, a, z, (g, own) in zip(c["ident"].tolist(), pages, offsets, offsets[1:], gone):
+                    left = ~np.array(g, bool)
+                    n, s = words[a:z][left], bad[a:z][left]
+                    if (n * s).any():
+                        out.append((ident, np.where(own, 0, np.array(p.filled) + 1)[left].astype(np.int32), n.astype(np.int32), s))
+                yield pd.DataFrame({"ident": pd.Series([x[0] for x in out], dtype=c["ident"].dtype)} | {k: pd.Series([x[i] for x in out], dtype=object) for i, k in enumerate(("numbers", "words", "stuffed"), 1)})
 
-    return rows.mapInPandas(judge, f"ident {rows.schema['ident'].dataType.simpleString()}").distinct().withColumnRenamed("ident", ident)
+    left = rows.mapInPandas(judge, f"ident {rows.schema['ident'].dataType.simpleString()}, numbers array<int>, words array<int>, stuffed array<boolean>")
+    again = repeated_places(counted).groupBy("ident").agg(F.collect_set("line_no").alias("again"))
+    lines = F.filter(F.arrays_zip("numbers", "words", "stuffed"), lambda x: ~F.array_contains(F.coalesce("again", F.array().cast("array<int>")), x.numbers))
+    total = lambda pick: F.aggregate(F.filter("lines", pick), F.lit(0), lambda n, x: n + x.words)
+    spam = left.join(again, "ident", "left").select("ident", lines.alias("lines")).where(total(lambda x: x.stuffed) > SHARE * total(lambda x: F.lit(True)))
+    return spam.select("ident").distinct().withColumnRenamed("ident", ident)
