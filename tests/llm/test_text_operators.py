@@ -250,7 +250,7 @@ def test_spam(spark):
     assert not stuffed_lines(["Some story missed the morning; others seemed quiet to the man."], np.zeros(1, int))[0].any()
 
 
-@pytest.mark.parametrize("words", [40])
+@pytest.mark.parametrize("words", [40, 150])
 def test_spam_under_notices(spark, words):
     rng = random.Random(13)
     say = lambda n: " ".join(rng.choice(["the", "and", "of"]) if k % 3 == 0 else f"{rng.choice('bdfgklmn')}{rng.choice('aeiou')}{rng.choice('lrnst')}{rng.choice('aeiou')}t" for k in range(n)).capitalize() + "."

@@ -31,7 +31,7 @@ i w z na się nie że do jest są był o po za gdy już lecz według pod
 и в на не с что по из был была это к у за без но я о
 """.split())
 
-WINDOW, LAGS, RECURRING, REGULAR, FUNCTION_SHARE, SHARE, LOOK = 24, 12, 0.4, 0.25, 0.06, 0.5, 0.2
+WINDOW, LAGS, RECURRING, REGULAR, FUNCTION_SHARE, SHARE = 24, 12, 0.4, 0.25, 0.06, 0.5
 _LIST = re.compile(r"::|\s[|»-]\s|#\w|,.*,.*,.*,")
 _LINK = re.compile(r"\bhttps?://\S+|\bwww\.\S+")
 
@@ -74,8 +74,8 @@ def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weig
     """Column ident of every page of whose words outside furniture more than half stand in stuffed lines.
 
     Furniture is what furniture_lines of webloom.llm.boilerplate takes for it: lines told by the weights, and lines repeated in several
-    texts of the site unless they are the page's own headline.  Pages with a stuffed share of under ``LOOK`` of all words can't
-    come to more than half without furniture of more than three fifths and are left out before the lines are scored.
+    texts of the site unless they are the page's own headline.  Only pages without any stuffed word are left out before the
+    lines are scored.
     Null idents and null or empty texts give no row, repeated rows one.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
@@ -91,8 +91,7 @@ def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weig
                 lists = [[x for x in t.split("\n") if x and not x.isspace()] for t in b["text"]]
                 page = np.repeat(np.arange(len(b)), [len(x) for x in lists])
                 bad, counts = stuffed_lines([x for y in lists for x in y], page)
-                total = np.bincount(page, counts, len(b))
-                look = np.bincount(page, counts * bad, len(b)) >= np.maximum(LOOK * total, 1)
+                look = np.bincount(page, counts * bad, len(b)) > 0
                 if not look.any():
                     continue
                 c, bad = b[look], bad[look[page]]
