@@ -204,8 +204,9 @@ def commoncrawl_records(spark, folder):
 
 
 def bayes_relevance(spark, folder):
-    d = table(spark, folder, "documents").withColumn("label", F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.lower("lang")))
-    return D.naive_bayes(d.where("label is not null"), d.where("label is null"), "doc_id", "text", "label").select("doc_id", "label")
+    """Most probable label of every document, from those with one."""
+    d = table(spark, folder, "documents").withColumn("label", F.lower("lang"))
+    return D.naive_bayes(d.where("label is not null"), d, "doc_id", "text", "label").select("doc_id", "label")
 
 
 def similarity_gold(spark, folder):
