@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from test_queries import FOLDER, pytestmark  # noqa: F401
+from test_queries import FOLDER, duck, pytestmark  # noqa: F401
+from webloom.llm.p3 import p3_found, p3_text
+from webloom.llm.p5 import SQL, p5_text
 from webloom.plans.session import table
 from webloom.queries.content import bayes_relevance
 from webloom.queries.problems import p1_formats
@@ -17,3 +19,11 @@ def test_bayes_labels_every_document(spark):
     every = {r[0] for r in table(spark, FOLDER, "documents").where(F.col("text").rlike(r"[\p{L}\p{Nd}]")).select("doc_id").collect()}
     got = [r[0] for r in bayes_relevance(spark, FOLDER).select("doc_id").collect()]
     assert len(got) == len(every) and set(got) == every
+
+
+def test_texts_without_lines(spark, duck):  # noqa: F811
+    want = dict(duck.execute(SQL["p5_cleaned"]).fetchall())
+    assert {r[0]: len(r[1] or "") for r in p5_text(spark, FOLDER).collect()} == want
+    pages = {r[0]: (r[1] or "").split("\n") for r in table(spark, FOLDER, "index_docs").select("page_id", "content").collect()}
+    gone = {tuple(r) for r in p3_found(spark, FOLDER).collect()}
+    assert gone and {r[0]: r[1] or "" for r in p3_text(spark, FOLDER).collect()} == {p: "\n".join(x for n, x in enumerate(lines, 1) if (p, n) not in gone) for p, lines in pages.items()}

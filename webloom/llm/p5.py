@@ -14,11 +14,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "index_docs"), "page_id", "host", "content", 5)
 
 
-def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page's length before and after the repeated lines are cut."""
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's text without the repeated lines."""
     pages = table(spark, folder, "index_docs").select("page_id", "host", "content")
-    clean = without_lines(pages, "page_id", "content", repeated_lines(pages, "page_id", "host", "content", 5))
-    return clean.select("page_id", F.length("content").alias("chars_left"))
+    return without_lines(pages, "page_id", "content", repeated_lines(pages, "page_id", "host", "content", 5)).select("page_id", "content")
+
+
+def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Length of every page's text without the repeated lines."""
+    return p5_text(spark, folder).select("page_id", F.length("content").alias("chars_left"))
 
 
 _LINES = r"""
@@ -28,7 +32,7 @@ with l as (
   from index_docs, lateral (select unnest(string_split(content, chr(10))) as line, unnest(range(1, len(string_split(content, chr(10))) + 1)) as n) u),
 o as (select host, line from l where line <> '' group by host, line having count(distinct page_id) >= 5)
 """
-QUERIES = {"p5_found": p5_found, "p5_cleaned": p5_cleaned}
+QUERIES = {"p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_text": p5_text}
 SQL = {
     "p5_found": _LINES + "select page_id, cast(line_no as integer) as line_no from l join o using (host, line)",
     "p5_cleaned": _LINES + "select page_id, cast(coalesce(length(string_agg(case when o.line is null then raw end, chr(10) order by line_no)), 0) as integer) as chars_left from l left join o using (host, line) group by page_id",
