@@ -54,6 +54,11 @@ def test_repeated_lines(spark):
     df = pages(spark, rows)
     got = {tuple(r) for r in repeated_lines(df, "page_id", "host", "content", 5).collect()}
     assert got == {(i, n) for i in range(6) for n in (1, 5)}
+    blanks = pages(spark, [(i, "h", None, ["Accept all", "\u00a0ACCEPT\u00a0all", "Accept \t\u00a0 all\u00a0"][i % 3]) for i in range(6)])
+    assert repeated_lines(blanks, "page_id", "host", "content", 5).count() == 6
+    dated = pages(spark, [(i, "h", None, f"one line\n{'x' * i}") for i in range(6)]).withColumn("day", F.expr("case when page_id < 5 then date'2024-01-01' else date'2024-01-02' end"))
+    assert repeated_lines(dated, "page_id", "host", "content", 5, 5, "day", 2).count() == 6
+    assert repeated_lines(dated, "page_id", "host", "content", 5, 5, "day", 3).count() == 0
     same = pages(spark, [(i, "h", None, "one text\nfor all") for i in range(9)])
     assert repeated_lines(same, "page_id", "host", "content", 5).count() == 18
     assert repeated_lines(same, "page_id", "host", "content", 5, min_clusters=2).count() == 0

@@ -9,15 +9,14 @@ from webloom.plans.workspace import staged
 
 
 def line_form(text: Column) -> Column:
-    """Text in the form in which lines are compared: lower case, runs of blanks as one blank, runs of digits as one sign, line by line."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[ \t ]+", " "), "[0-9]+", "0")
+    """Text in the form in which lines are compared: lower case, runs of blanks, tabs and no-break spaces as one blank, runs of digits as one sign, line by line."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[ \t\u00a0]+", " "), "[0-9]+", "0")
 
 
 def line_keys(text: Column, source: Column) -> Column:
     """Array with a 96-bit key of (source, line) for each line of text, null for blank lines."""
-    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     return F.transform(
-        F.transform(F.split(line_form(text), "\n"), bare),
+        F.transform(F.split(line_form(text), "\n"), lambda x: F.trim(x)),
         lambda x: F.when(x != "", F.struct(F.xxhash64(source, x).alias("a"), F.hash(x, source).alias("b"))),
     )
 
