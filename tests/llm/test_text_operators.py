@@ -282,4 +282,5 @@ def test_subjects(spark):
     assert len(got) == len(set(got)) and len(set(got) ^ want) <= 0.02 * len(want)
     assert subject_rows(pages(spark, rows), "page_id", "content", frame.limit(0), "page_id", "subject").count() == 0
     assert subject_rows(pages(spark, rows).limit(0), "page_id", "content", frame, "page_id", "subject").count() == 0
-    assert sentences("One. Two!\nThree") == ["One.", "Two!", "Three"]
+    found, per = sentences(["One. Two!\nThree", "", "12. \n Über 3; a.b"])
+    assert found.to_pylist() == ["One.", "Two!", "Three", "Über 3; a.b"] and per.tolist() == [3, 0, 1]

@@ -1,7 +1,8 @@
 """Subject areas of documents: seeded non-negative factorisation of the sentence-term matrix.
 
-Every sentence is a row, every frequent term a column.  One component is anchored to each subject: its start is what the terms of
-documents labelled with it have above their rate in all documents; one more component has the overall rates and takes
+Every sentence is a row.  Every term counts: terms are hashed to ``CELLS`` columns, so that the factors have a fixed size whatever the
+vocabulary is, and rare terms share a column instead of being dropped.  One component is anchored to each subject: its start is what the
+terms of documents labelled with it have above their rate in all documents; one more component has the overall rates and takes
 the common words.  Alternating non-negative updates (those of the Kullback-Leibler factorisation) over all documents then spread
 each subject to terms no labelled document had.  With the factors fixed, a sentence belongs to the anchored component with the
 largest mass, if that amounts to ``mass`` terms; a document has the subjects of at least ``share`` of its sentences.
@@ -9,163 +10,188 @@ largest mass, if that amounts to ``mass`` terms; a document has the subjects of
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.words import word_lists
 from webloom.plans.workspace import staged
 
-SENTENCE = re.compile(r"(?<=[.!?…;:—”»“])\s+(?=[^\W\d_a-zß-öø-ÿа-я]|[«„“¿¡\d])|\n+")
+# a sentence ends in one of these signs before a blank and an upper-case letter, a digit or an opening sign, or with its line
+END = r"([.!?…;:—”»“])[\s\p{Z}]+([\p{Lu}\p{Lt}\p{Lo}\p{Lm}«„“¿¡\d])"
 LABELLED_DOCUMENTS = 200_000
-ROUNDS, INNER, FLOOR, LEAST_RATE = 3, 3, 0.001, 0.0005
+ROUNDS, INNER, FLOOR, CELLS = 3, 3, 0.001, 1 << 17
 PURE, PRIOR = 0.3, 4.0
-
-
-def sentences(text: str) -> list[str]:
-    return [x for x in SENTENCE.split(text) if x and any(c.isalpha() for c in x)]
-
-
-def _shares(t: np.ndarray, owner: np.ndarray, n: int, h: np.ndarray) -> np.ndarray:
-    """Responsibility of each component (column) for each term occurrence, the sentences' mixtures being fitted to the fixed factors h (terms x components)."""
-    base = h[t]
-    w = np.ones((n, h.shape[1]), np.float32)
-    for _ in range(INNER):
-        r = base * w[owner]
-        r /= r.sum(axis=1, keepdims=True)
-        for k in range(h.shape[1]):
-            w[:, k] = np.bincount(owner, r[:, k], n) + 0.05
+_SLICE, _FLUSH = 1 << 16, 1 << 20
+
+
+def sentences(texts: list[str] | pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All sentences (with a letter at least) one after the other, and each text's number of them."""
+    lists = pc.split_pattern_regex(pc.replace_substring_regex(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), pattern=END, replacement="\\1\n\\2"), "\n+")
+    flat = lists.flatten()
+    real = pc.match_substring_regex(flat, r"\p{L}")
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[real.to_numpy(zero_copy_only=False)]
+    return flat.filter(real), np.bincount(owner, minlength=len(texts))
+
+
+def _shares(t: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Responsibility of each component (row) for each term occurrence, the mixtures of the sentences (that begin at ``starts``) being fitted to the fixed factors h (components x terms)."""
+    base = h[:, t]
+    sizes = np.diff(starts, append=len(t))
+    r = base / base.sum(axis=0)
+    for _ in range(INNER - 1):
+        w = np.add.reduceat(r, starts, axis=1) + np.float32(0.05)
+        r = base * np.repeat(w, sizes, axis=1)
+        r /= r.sum(axis=0)
     return r
 
 
 def _anchored(h: np.ndarray, overall: np.ndarray) -> np.ndarray:
-    """Factors from term masses by component: an anchored component keeps the terms of whose mass among anchored components it has far more than an even share; what is left goes to the common component."""
-    mass = h[:, :-1]
-    pure = (mass + PRIOR / mass.shape[1]) / (mass.sum(axis=1, keepdims=True) + PRIOR)
+    """Factors from the term masses of the anchored components: an anchored component keeps the terms of whose mass among anchored components it has far more than an even share; what is left goes to the common component."""
+    mass = h
+    pure = (mass + PRIOR / len(mass)) / (mass.sum(axis=0) + PRIOR)
     kept = mass * np.maximum(pure - PURE, 0)
-    out = np.empty_like(h)
-    out[:, :-1] = kept / np.maximum(kept.sum(axis=0), 1e-9) + FLOOR * overall[:, None]
-    out[:, -1] = overall
-    return out / out.sum(axis=0)
+    out = np.empty((len(h) + 1, h.shape[1]))
+    out[:-1] = kept / np.maximum(kept.sum(axis=1, keepdims=True), 1e-9) + FLOOR * overall
+    out[-1] = overall
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def _flat(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a batch, at document bounds: first and last document, term cells, where each sentence begins, and each sentence's document."""
+    ends = b.column("terms").offsets.to_numpy()
+    terms, places = b.column("terms").values.to_numpy(), b.column("places").values.to_numpy()
+    at = 0
+    while at < b.num_rows:
+        to = max(int(np.searchsorted(ends, ends[at] + _SLICE, "right")) - 1, at + 1)
+        if ends[to] > ends[at]:
+            t, place = terms[ends[at] : ends[to]], places[ends[at] : ends[to]]
+            doc = np.repeat(np.arange(at, to), np.diff(ends[at : to + 1]))
+            starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
+            yield at, to, t, starts, doc[starts]
+        at = to
+
+
+def _sums(masses: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(masses.any(axis=0))
+    return pa.RecordBatch.from_pydict({"t": pa.array(at, pa.int32())} | {f"r{k}": pa.array(m[at]) for k, m in enumerate(masses)})
+
+
+def _gathered(rows: DataFrame, partial, components: int) -> np.ndarray:
+    """Masses (components x cells) from the partial sums of all partitions: no more than CELLS rows reach the driver."""
+    names = [f"r{k}" for k in range(components)]
+    parts = rows.mapInArrow(partial, "t int, " + ", ".join(f"{x} double" for x in names))
+    got = parts.groupBy("t").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
+    out = np.zeros((components, CELLS))
+    for k, x in enumerate(names):
+        out[k, got.column("t").to_numpy()] = got.column(x).to_numpy()
+    return out
 
 
 def subject_rows(df: DataFrame, ident: str, text: str, labels: DataFrame, label_ident: str, subject: str, share: float = 0.2, mass: float = 0.9, labelled: int = LABELLED_DOCUMENTS) -> DataFrame:
     """Columns ident and subject: the subjects that at least ``share`` of a document's sentences are about.
 
-    labels: a sample of documents with their subjects, wrong ones among them; at most ``labelled`` labelled documents (those with the
-    least hashes of their ident) seed the factors.  Everything else covers all documents: term counts, updates, assignment.
+    labels: a sample of documents with their subjects, wrong ones among them; about ``labelled`` labelled documents (drawn by a hash of
+    their ident; all, if there are no more) seed the factors.  Everything else covers all documents: term counts, updates, assignment.
     Documents with null ident or null, empty or subjectless text have no rows; repeated rows count once; without documents or without
-    labels the result is empty.
+    labels the result is empty.  The factors have (subjects + 1) x CELLS numbers.
     """
     spark = df.sparkSession
     docs = df.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("ident"), F.col(text).alias("text"))
     idtype = docs.schema["ident"].dataType.simpleString()
     marks = labels.where(F.col(label_ident).isNotNull() & F.col(subject).isNotNull()).groupBy(F.col(label_ident).alias("ident")).agg(F.collect_set(subject).alias("subjects"))
-    marks = staged(marks.orderBy(F.xxhash64("ident"), "ident").limit(labelled), "labels")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for b in batches:
-            words, counts = word_lists(b["text"].tolist())
-            code = np.unique(np.repeat(np.arange(len(counts)), counts) * np.int64(len(words.dictionary) + 1) + words.indices.to_numpy())
-            n = np.bincount(code % (len(words.dictionary) + 1), minlength=len(words.dictionary))
-            total.update(dict(zip(words.dictionary.to_pylist(), n.tolist())))
-            total[""] += len(b)
-            if len(total) > 300_000:
-                yield pd.DataFrame({"term": pd.Series(list(total), dtype=object), "n": list(total.values())})
-                total.clear()
-        yield pd.DataFrame({"term": pd.Series(list(total), dtype=object), "n": list(total.values())})
-
-    found = staged(docs.mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
-    documents = next((r["n"] for r in found.where("term = ''").collect()), 0)
-    # a document of m distinct terms can push at most m terms over the rate, so the vocabulary is bounded by the mean m / LEAST_RATE
-    terms = [r["term"] for r in found.where((F.col("term") != "") & (F.col("n") >= max(2, LEAST_RATE * (documents or 0)))).select("term").orderBy("term").collect()]
-    index = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-
-    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marks = staged(marks, "labels")
+    drawn = min(labelled / max(marks.count(), 1), 1)
+    marks = marks.where(F.pmod(F.xxhash64("ident"), F.lit(1 << 30)) < int(drawn * (1 << 30)))
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sentences, term cells and the sentence of each; at the end a row without ident: the partition's counts by cell."""
+        total, kind = np.zeros(CELLS, np.int64), None
+        lists = lambda values, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
         for b in batches:
-            lists = [sentences(t) for t in b["text"]]
-            per = np.array([len(x) for x in lists], np.int64)
-            words, counts = word_lists([s for x in lists for s in x])
-            table = np.array([index.value.get(w, -1) for w in words.dictionary.to_pylist()], np.int32)
+            found, per = sentences(b.column("text"))
+            words, counts = word_lists(found)
+            table = np.array([xxhash.xxh3_64_intdigest(w) & (CELLS - 1) for w in words.dictionary.to_pylist()], np.int32)
             t = table[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            first = np.cumsum(per) - per
-            row = np.repeat(np.arange(len(b)), per)
-            ok = t >= 0
-            t, owner = t[ok], owner[ok]
-            cuts = np.searchsorted(row[owner] if len(owner) else owner, np.arange(len(b) + 1))
-            yield pd.DataFrame({"ident": b["ident"].values, "sentences": per.astype(np.int32), "terms": [t[a:z] for a, z in zip(cuts, cuts[1:])], "places": [(owner[a:z] - first[i]).astype(np.int32) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))]})
-
-    rows = staged(docs.mapInPandas(coded, f"ident {idtype}, sentences int, terms array<int>, places array<int>"), "sentences")
-
-    def flat(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
-        per = b["sentences"].to_numpy().astype(np.int64)
-        first = np.cumsum(per) - per
-        sizes = np.array([len(x) for x in b["terms"]], np.int64)
-        t = np.concatenate([*b["terms"], np.zeros(0, np.int32)]).astype(np.int64)
-        owner = np.concatenate([*b["places"], np.zeros(0, np.int32)]).astype(np.int64) + np.repeat(first, sizes)
-        return t, owner, int(per.sum()), np.repeat(np.arange(len(b)), per)
-
+            total += np.bincount(t, minlength=CELLS)
+            row = np.repeat(np.arange(b.num_rows), per)
+            place = np.repeat(np.arange(len(counts)) - (np.cumsum(per) - per)[row], counts).astype(np.int32)
+            cuts = np.searchsorted(np.repeat(row, counts), np.arange(b.num_rows + 1))
+            kind = b.schema.field("ident").type
+            nothing = pa.nulls(b.num_rows, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"ident": b.column("ident"), "sentences": pa.array(per, pa.int32()), "terms": lists(t, cuts), "places": lists(place, cuts), "counts": nothing})
+        at = np.flatnonzero(total)
+        if len(at):
+            ends = [0, len(at)]
+            yield pa.RecordBatch.from_pydict({"ident": pa.nulls(1, kind), "sentences": pa.array([0], pa.int32()), "terms": lists(at.astype(np.int32), ends), "places": lists(np.zeros(0, np.int32), [0, 0]), "counts": lists(total[at], ends)})
+
+    both = staged(docs.mapInArrow(coded, f"ident {idtype}, sentences int, terms array<int>, places array<int>, counts array<long>"), "sentences")
+    rows = both.where("ident is not null").drop("counts")
     names = [r[0] for r in marks.select(F.explode("subjects")).distinct().orderBy("col").collect()]
     schema = f"ident {idtype}, subject string"
-    if not names or not terms:
+    overall = np.zeros(CELLS)
+    got = both.where("ident is null").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n")).toArrow()
+    overall[got.column("terms").to_numpy()] = got.column("n").to_numpy()
+    if not names or not overall.any():
         return spark.createDataFrame([], schema).withColumnsRenamed({"ident": ident, "subject": "subject"})
-    v = len(terms)
-    # term counts by subject of the labelled documents: a document with several subjects counts for each in part
-    seed = rows.join(marks, "ident").select(F.explode("subjects").alias("s"), (1.0 / F.size("subjects")).alias("w"), "terms").select("s", "w", F.explode("terms").alias("t")).groupBy("s", "t").agg(F.sum("w").alias("n"))
-    overall = np.full(v, 0.5)
-    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        overall[r["t"]] += r["count"]
+    overall = np.where(overall > 0, overall + 0.5, 0)
     overall /= overall.sum()
-    h = np.zeros((v, len(names) + 1))
-    for r in seed.collect():
-        h[r["t"], names.index(r["s"])] += r["n"]
-    h[:, :-1] /= np.maximum(h[:, :-1].sum(axis=0), 1e-9) / h[:, :-1].sum() * len(names)
+
+    # term masses by subject of the labelled documents: a document with several subjects counts for each in part
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, place = np.zeros((len(names), CELLS)), {x: k for k, x in enumerate(names)}
+        for b in batches:
+            ends, terms = b.column("terms").offsets.to_numpy(), b.column("terms").values.to_numpy()
+            for lo, hi, said in zip(ends, ends[1:], b.column("subjects").to_pylist()):
+                for s in said:
+                    np.add.at(total[place[s]], terms[lo:hi], 1 / len(said))
+        yield _sums(total)
+
+    h = _gathered(rows.join(marks, "ident").select("terms", "subjects"), seed, len(names))
+    h *= h.sum() / (np.maximum(h.sum(axis=1, keepdims=True), 1e-9) * len(names))
     h = _anchored(h, overall)
 
     for _ in range(ROUNDS):
         now = spark.sparkContext.broadcast(h.astype(np.float32))
 
-        def update(batches: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            h = now.value
-            total = np.zeros(h.shape)
+        def update(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            h, total, kept, size = now.value, np.zeros((len(names), CELLS)), [], 0
+
+            def flush() -> None:
+                if kept:
+                    t = np.concatenate([x for x, _ in kept])
+                    for k in range(len(total)):
+                        total[k] += np.bincount(t, np.concatenate([r[k] for _, r in kept]), CELLS)
+                    kept.clear()
+
             for b in batches:
-                t, owner, n, _ = flat(b)
-                if len(t):
-                    r = _shares(t, owner, n, h)
-                    for k in range(h.shape[1]):
-                        total[:, k] += np.bincount(t, r[:, k], len(h))
-            at = np.flatnonzero(total.sum(axis=1))
-            yield pd.DataFrame({"t": at, "r": list(total[at])})
-
-        sums = rows.select("sentences", "terms", "places").mapInPandas(update, "t int, r array<double>")
-        sums = sums.groupBy("t").agg(F.array(*[F.sum(F.get("r", F.lit(k))) for k in range(h.shape[1])]).alias("r")).collect()
-        h = np.zeros(h.shape)
-        for r in sums:
-            h[r["t"]] = r["r"]
-        h = _anchored(h, overall)
+                for _, _, t, starts, _ in _flat(b):
+                    kept.append((t, _shares(t, starts, h)[:-1]))
+                    size += len(t)
+                    if size > _FLUSH:
+                        flush()
+                        size = 0
+            flush()
+            yield _sums(total)
+
+        h = _anchored(_gathered(rows.select("terms", "places"), update, len(names)), overall)
+        now.unpersist()
     last = spark.sparkContext.broadcast((h.astype(np.float32), names))
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, names = last.value
         for b in batches:
-            t, owner, n, row = flat(b)
-            if not len(t):
-                continue
-            r = _shares(t, owner, n, h)
-            m = np.stack([np.bincount(owner, r[:, k], n) for k in range(len(names))], axis=1)
-            best = m.argmax(axis=1)
-            clear = m[np.arange(n), best] >= mass
-            hits = np.zeros((len(b), len(names)))
-            np.add.at(hits, (row[clear], best[clear]), 1)
-            i, k = np.nonzero(hits >= share * np.maximum(b["sentences"].to_numpy(), 1)[:, None] - 1e-9)
-            ok = hits[i, k] > 0
-            yield pd.DataFrame({"ident": b["ident"].values[i[ok]], "subject": pd.Series([names[x] for x in k[ok]], dtype=object)})
-
-    return rows.mapInPandas(assign, schema).distinct().withColumnRenamed("ident", ident)
+            for lo, hi, t, starts, doc in _flat(b):
+                m = np.add.reduceat(_shares(t, starts, h)[:-1], starts, axis=1)
+                best = m.argmax(axis=0)
+                clear = m[best, np.arange(len(best))] >= mass
+                hits = np.bincount((doc[clear] - lo) * len(names) + best[clear], minlength=(hi - lo) * len(names)).reshape(hi - lo, -1)
+                i, k = np.nonzero((hits > 0) & (hits >= share * np.maximum(b.column("sentences").to_numpy()[lo:hi], 1)[:, None] - 1e-9))
+                yield pa.RecordBatch.from_pydict({"ident": b.column("ident").take(pa.array(lo + i)), "subject": pa.array([names[x] for x in k], pa.string())})
+
+    return rows.mapInArrow(assign, schema).distinct().withColumnRenamed("ident", ident)

@@ -2,36 +2,27 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-WORD = re.compile(r"[^\W_]+")
-
-
-def fold(text: str) -> str:
-    """Lower case without accents."""
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+BREAK = r"[^\p{L}\p{N}]+"
 
 
-def word_lists(texts: list[str | None], accents: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
+def word_lists(texts: list[str | None] | pa.Array, accents: bool = True) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words (longest runs of letters and digits, lower-cased) one after the other, and each text's number of them; a null text has none."""
-    flat: list[str] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        if t:
-            w = WORD.findall(t.lower() if accents else fold(t))
-            counts[k] = len(w)
-            flat += w
-    return pa.array(flat, pa.string()).dictionary_encode(), counts
+    low = pc.utf8_lower(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    if not accents:
+        low = pc.replace_substring_regex(pc.utf8_normalize(low, form="NFD"), pattern=r"\p{Mn}+", replacement="")
+    lists = pc.split_pattern_regex(pc.fill_null(low, ""), BREAK)
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "")
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[real.to_numpy(zero_copy_only=False)]
+    return flat.filter(real).dictionary_encode(), np.bincount(owner, minlength=len(lists))
 
 
-def word_hashes(texts: list[str | None], accents: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str | None] | pa.Array, accents: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """As word_lists, each word as its 64-bit hash."""
     words, counts = word_lists(texts, accents)
     table = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
