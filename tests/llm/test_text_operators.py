@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,7 +219,7 @@ def test_kept_runs():
     rng = random.Random(7)
     for _ in range(200):
         s = [rng.choice([-3, -1, 1, 2, 4]) for _ in range(rng.randrange(1, 9))]
-        keep = kept_runs(s, 1.5)
+        keep = kept_runs(s, None, 1.5)
         score = lambda k: sum(x for x, y in zip(s, k) if y) - 1.5 * max(0, sum(y and not z for y, z in zip(k, [False, *k])) - (1 if k[0] else 0)) + 0.0
         assert abs(score(keep) - max(score(k) for k in itertools.product([False, True], repeat=len(s)))) < 1e-9
 
@@ -237,6 +238,23 @@ def test_furniture(spark):
     assert furniture_lines(df.limit(0), "page_id", "host", "title", "content").count() == 0
 
 
+def test_own_lists_stay(spark):
+    rng = random.Random(21)
+    word = lambda: f"{rng.choice('bdfgklmn')}{rng.choice('aeiou')}{rng.choice('lrnst')}{rng.choice('aeiou')}t"
+    say = lambda: " ".join(rng.choice(["the", "and", "of", "to"]) if k % 3 == 0 else word() for k in range(20)).capitalize() + "."
+    lists = (
+        lambda: f"- {rng.randrange(9, 400)} {word()}, {word().title()} {word()}", lambda: f"{word()}: {word()} {word()} {word()}", lambda: f"{word().title()} {rng.randrange(9)}:{rng.randrange(9)} {word().title()} ({word()})",
+        lambda: f"{word().title()} {word()} red SKU{rng.randrange(10**5):05} -{rng.randrange(5, 60)}% {rng.randrange(9, 99)},99",
+    )
+    rows = []
+    for i in range(80):
+        own = [lists[i % 4]() for _ in range(8)]
+        text = [say(), *own, say()] if i % 8 < 4 else [say(), say(), *own]
+        rows.append((i, f"h{i % 2}.example", f"{word()} {word()} {word()}".capitalize(), "\n".join(["Home | News | About", *text, "Share this page", "© 2024 H. All rights reserved."])))
+    got = {tuple(r) for r in furniture_lines(pages(spark, rows), "page_id", "host", "title", "content").collect()}
+    assert got == {(i, n) for i in range(80) for n in (1, 12, 13)}
+
+
 def test_furniture_of_copies(spark):
     rng = random.Random(12)
     say = lambda: " ".join(rng.choice(["zorb", "quix", "plim", "vask", "jund", "wemp"]) for _ in range(18)).capitalize() + "."
@@ -252,7 +270,7 @@ def test_spam(spark):
     spam = [(100, "h0.example", None, "\n".join("buy lamp cheap lamp best lamp online lamp sale lamp" for _ in range(8))), (101, "h1.example", "cheap", "\n".join(f"Lamp red SKU{i} -10% 9,99" for i in range(20))), (102, "h1.example", "x", "\n".join(f"www.a{i}.example/x" for i in range(20)))]
     df = pages(spark, [*rows, *spam, (900, None, None, None), (901, "h", None, " \n ")])
     assert {r[0] for r in spam_pages(df, "page_id", "host", "title", "content").collect()} == {100, 101, 102}
-    assert not stuffed_lines(["Some story missed the morning; others seemed quiet to the man."], np.zeros(1, int))[0].any()
+    assert not stuffed_lines(pa.array(["Some story missed the morning; others seemed quiet to the man."]), np.zeros(1, int))[0].any()
 
 
 @pytest.mark.parametrize("words", [40, 150])
@@ -261,7 +279,7 @@ def test_spam_under_notices(spark, words):
     say = lambda n: " ".join(rng.choice(["the", "and", "of"]) if k % 3 == 0 else f"{rng.choice('bdfgklmn')}{rng.choice('aeiou')}{rng.choice('lrnst')}{rng.choice('aeiou')}t" for k in range(n)).capitalize() + "."
     notice, stuffed = say(words), "buy lamp cheap lamp best lamp online lamp sale lamp"
     rows = [(i, "h.example", None, f"{notice}\n{say(30)}") for i in range(8)] + [(100, "h.example", None, f"{notice}\n{stuffed}\n{stuffed}\n{say(12)}"), (101, "h.example", None, f"{notice}\n{stuffed}\n{say(25)}")]
-    keep = {f"#zone{x}": 1.0 for x in "phtb"}  # every line is text by its weights, as notices may be
+    keep = {f"#zone{x}{d}": 6.0 for x in "nhHtbp" for d in range(4)}  # every line is text by its weights, as notices may be
     assert [r[0] for r in spam_pages(pages(spark, rows), "page_id", "host", "title", "content", keep).collect()] == [100]
 
 

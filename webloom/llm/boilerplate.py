@@ -1,41 +1,42 @@
 """Main content of pages: maximum-scoring runs of lines.
 
 Each word of a line has a weight, positive where it is commoner in main text, negative where it is commoner in page furniture; the
-marks that stand for a page's tags here (separators, a missing full stop, the site's own name, the place before, between or after the
-paragraphs ...) have weights too.  A linear scan then finds the set of contiguous line runs with the largest sum of scores,
-each further run at a price, so that a notice between two paragraphs doesn't drag the second paragraph down with it.
+marks that stand for a page's tags here (the line's shape, separators, a missing full stop, the site's own name, the place before,
+between or after the paragraphs, a repeated heading above it, whether its neighbours are furniture ...) have weights too, and each further text of the site in
+which a line stands takes a share of its words' weights and of ``REPEAT`` from its score, all of both at ``REPEATED``.  A linear scan then finds the set of contiguous line runs with
+the largest sum of scores, each further run at a price, so that a notice between two paragraphs doesn't drag the second paragraph
+down with it.  Nothing but that scan decides.
 
 The weights come from labelled pages.  Nobody labels pages by hand here: in a sample of pages, bounded by a parameter, a line that
-stands in several texts of its site is furniture and a long line that stands in one text only is main text (both counted over all
-pages, pages with the same text in one site as one); the lines in between are labelled by the weights themselves in a second round.
+stands in several texts of its site is furniture.  A line that stands in one text only is main text if it is long, if it is the page's
+title, if it stands between long ones and not beside a repeated line, or if it is one of several lines of the same shape; so lists,
+glossaries and results of a page are learnt as its own.  All other lines are labelled by the weights themselves in a second round.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.site_lines import counted_lines, line_keys, places_of
+from webloom.llm.site_lines import counted_lines, places_counted
 from webloom.llm.words import word_lists
 from webloom.plans.workspace import size_of, staged
 
 LABELLED_PAGES = 12_000
-PRICE, CLIP, PARAGRAPH, REPEATED = 1.0, 3.0, 12, 5
+PRICE, CLIP, PARAGRAPH, REPEATED, REPEAT, RUN, ROUNDS = 1.0, 3.0, 12, 5, 16.0, 3, 2
 BROADCAST_BYTES = 32 << 20
+SLICE = 2048
 
-_SEPARATORS = re.compile(r"[|·»>/]|  |::")
-_ITEM = re.compile(r"\s*(?:[-*•▸]|\d+[.)]?\s)")
-_TITLELIKE = re.compile(r"^[^.!?…]{4,90}$")
-
-_TAGS = re.compile(r"^#\w+(?:\s+#\w+)*$")
-_GOODS = re.compile(r"-\d+ ?%|\bSKU\d|\d[.,]\d\d$")
-_LINK = re.compile(r"^»|\bhttps?://|^www\.")
+_ENDS = {x: x for x in ".!?…:,;”»“)"}
+_SENTENCE_ENDS = set(".!?…”»“\"'")
+#: what is taken from a line, step by step, to see its shape: list signs, numbers, words, tags, blanks
+_SHAPE = [(r"^[-*•▸]\s*", ""), (r"\d[\d.,:]*", "0"), (r"\p{L}+(?:[\s'’-]+\p{L}+)*", "w"), (r"#w(?:\s*#w)+", "#w"), (r"[\s\p{Z}]+", " ")]
 
 
 def site_names(host: str | None) -> set[str]:
@@ -43,76 +44,168 @@ def site_names(host: str | None) -> set[str]:
     return {x for x in (host or "").lower().split(".")[:-1] if len(x) > 3} - {"www", "blog", "news", "forum", "example"}
 
 
-class Page:
-    """One page's lines with what the marks need."""
-
-    __slots__ = ("lines", "filled", "title", "names", "words")
-
-    def __init__(self, host: str | None, title: str | None, content: str | None) -> None:
-        self.lines = (content or "").split("\n")
-        self.filled = [i for i, x in enumerate(self.lines) if x and not x.isspace()]
-        self.title = " ".join((title or "").lower().split())
-        self.names = site_names(host)
-
-
-def marks(page: Page, counts: list[int]) -> list[list[str]]:
-    """Marks of each filled line; counts: its number of words."""
-    out = []
-    texts = [page.lines[i].strip() for i in page.filled]
-    body = [k for k, (x, n) in enumerate(zip(texts, counts)) if n >= PARAGRAPH and x[-1] in ".!?…”»“\"'"]
-    first, last = (body[0], body[-1]) if body else (len(texts), -1)
-    start = page.title[:4]
-    for k, (x, n) in enumerate(zip(texts, counts)):
-        m = ["#zone" + ("p" if n >= PARAGRAPH and first <= k <= last else "h" if k < first else "t" if k > last else "b"), "#end" + (x[-1] if x[-1] in ".!?…:,;”»“)" else "0" if x[-1].isdigit() else "a"), f"#len{min(n, 40).bit_length()}"]
-        out.append(m)
-        low = x.lower()
-        if page.names and any(name in low for name in page.names):
-            m.append("#site")
-        if n >= PARAGRAPH and x[-1] in ".!?…":
-            continue
-        m.append(f"#sep{min(len(_SEPARATORS.findall(x)), 3)}")
-        if "©" in x:
-            m.append("#copy")
-        if x.isupper() and n > 1:
-            m.append("#upper")
-        if _ITEM.match(x):
-            m.append("#item")
-        if n > 1 and len(page.title) > 8 and low.startswith(start) and page.title.startswith(" ".join(low.split())):
-            m.append("#title")
-    return out
-
-
-def page_features(hosts: list, titles: list, contents: list) -> tuple[list[Page], np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Pages; the line offset of each; vocabulary of the batch; token codes with the line each stands in; words per line."""
-    pages = [Page(h, t, c) for h, t, c in zip(hosts, titles, contents)]
-    words, counts = word_lists([p.lines[i] for p in pages for i in p.filled])
-    offsets = np.concatenate([[0], np.cumsum([len(p.filled) for p in pages])]).astype(np.int64)
-    vocabulary = ["0" if w[0].isdigit() else w for w in words.dictionary.to_pylist()]
-    index: dict[str, int] = {}
-    codes, owner = [], []
-    for p, (a, z) in zip(pages, zip(offsets, offsets[1:])):
-        for k, m in enumerate(marks(p, counts[a:z].tolist())):
-            codes += [index.setdefault(x, len(index)) for x in m]
-            owner += [a + k] * len(m)
-    n = len(vocabulary)
-    t = np.concatenate([words.indices.to_numpy().astype(np.int64) if len(words) else np.zeros(0, np.int64), np.array(codes, np.int64) + n])
-    o = np.concatenate([np.repeat(np.arange(len(counts)), counts), np.array(owner, np.int64)]).astype(np.int64)
-    return pages, offsets, vocabulary + list(index), t, o, counts
-
-
-def line_scores(vocabulary: list[str], t: np.ndarray, o: np.ndarray, n: int, weights: dict[str, float]) -> np.ndarray:
-    w = np.array([weights.get(x, 0.0) for x in vocabulary])
-    return np.bincount(o, w[t], n) if len(t) else np.zeros(n)
-
-
-def kept_runs(scores: list[float], price: float = PRICE) -> list[bool]:
-    """The lines of the line runs with the largest sum of scores, each run after the first costing ``price``; one scan forward, one back."""
+def _coded(values: pa.Array) -> tuple[np.ndarray, list[str]]:
+    d = values.dictionary_encode()
+    return d.indices.to_numpy().astype(np.int64), d.dictionary.to_pylist()
+
+
+class Lines:
+    """The filled lines of a batch of pages (columns ident, host, title, text, places), with what their scores need, as arrays."""
+
+    def __init__(self, b: pa.RecordBatch, hidden: np.ndarray | None = None) -> None:
+        """hidden: pages whose title the marks may not see."""
+        self.n = b.num_rows
+        self.hidden = np.zeros(self.n, bool) if hidden is None else hidden
+        lists = pc.split_pattern(pc.fill_null(b.column("text"), ""), "\n")
+        per = pc.list_value_length(lists).to_numpy()
+        flat = lists.flatten()
+        filled = pc.match_substring_regex(flat, r"[^\s\p{Z}]").to_numpy(zero_copy_only=False)
+        page = np.repeat(np.arange(self.n), per)
+        number = np.arange(len(page)) - (np.cumsum(per) - per)[page]
+        among = np.ones(len(page), np.int64)
+        places = b.column("places")
+        if len(said := places.flatten()):
+            at = (np.cumsum(per) - per)[np.repeat(np.arange(self.n), pc.fill_null(pc.list_value_length(places), 0).to_numpy())] + said.field("pos").to_numpy()
+            np.maximum.at(among, at, said.field("c").to_numpy())
+        self.page, self.number, self.among = page[filled], number[filled] + 1, among[filled]
+        self.raw = flat.filter(pa.array(filled))
+        self.cuts = np.searchsorted(self.page, np.arange(self.n + 1))
+        self.words, self.counts = word_lists(self.raw)
+        self._marks(b)
+
+    def _marks(self, b: pa.RecordBatch) -> None:
+        n, m = self.counts, len(self.counts)
+        text = pc.utf8_trim_whitespace(self.raw)
+        last, signs = _coded(pc.utf8_slice_codeunits(text, -1, 2**31 - 1))
+        ends = np.array([x in _SENTENCE_ENDS for x in signs] + [False])[last]
+        short = n < PARAGRAPH
+        # the page's own headline, and the site's name
+        title = [" ".join((x or "").lower().split()) for x in b.column("title").to_pylist()]
+        names = [site_names(x) for x in b.column("host").to_pylist()]
+        low = pc.utf8_lower(text).to_pylist()
+        own, site = np.zeros(m, bool), np.zeros(m, bool)
+        for p, (lo, hi) in enumerate(zip(self.cuts.tolist(), self.cuts[1:].tolist())):
+            t, start, called = title[p], title[p][:4], names[p]
+            for i in range(lo, hi):
+                x = low[i]
+                if len(x) > 8 and len(t) > 8 and x.startswith(start) and t.startswith(" ".join(x.split())):
+                    own[i] = True
+                if called:
+                    site[i] = any(c in x for c in called)
+        own &= short
+        seen = own & ~self.hidden[self.page]
+        # the page's text reaches from its headline, if that comes first, to its last long line that isn't repeated
+        k = np.arange(m)
+        body = np.flatnonzero(~short & ends & (self.among < REPEATED))
+        first, final = np.full(self.n, m), np.full(self.n, -1)
+        first[self.page[body[::-1]]], final[self.page[body]] = body[::-1], body
+        heads = np.flatnonzero(seen & (k < first[self.page]))[::-1]
+        first[self.page[heads]] = heads
+        titled = np.zeros(self.n, bool)
+        titled[self.page[heads]] = True
+        first, final, titled = first[self.page], final[self.page], titled[self.page]
+        zone = np.select([final < 0, (k < first) & titled, k < first, k > final, short], [0, 1, 2, 3, 4], 5)
+        far = np.select([(zone == 1) | (zone == 2), zone == 3], [np.minimum(first - k, 3), np.minimum(k - final, 3)], 0)
+        # the shapes of short lines, and runs of the same one
+        shaped = short | ~ends
+        shape = text.filter(pa.array(shaped))
+        for pattern, new in _SHAPE:
+            shape = pc.replace_substring_regex(shape, pattern=pattern, replacement=new)
+        code, shapes = _coded(shape)
+        every = np.full(m, -1)
+        every[shaped] = code
+        new = np.concatenate([[True], (every[1:] != every[:-1]) | (self.page[1:] != self.page[:-1]) | (every[1:] < 0)]) if m else np.zeros(0, bool)
+        run = np.cumsum(new) - 1
+        self.in_run = (np.bincount(run)[run] >= RUN) if m else np.zeros(0, bool)
+        self.own, self.seen, self.short, self.zone = own, seen, short, zone
+        plain = ~(~short & np.array([x in ".!?…" for x in signs] + [False])[last])
+        separators = np.minimum(pc.count_substring_regex(text, r"[|·»>/]|  |::").to_numpy(), 3)
+        vocabulary, codes, owner = [], [], []
+
+        def mark(where: np.ndarray, which: np.ndarray, labels: list[str]) -> None:
+            codes.append(which[where] + len(vocabulary))
+            owner.append(np.flatnonzero(where))
+            vocabulary.extend(labels)
+
+        yes, zero = np.ones(m, bool), np.zeros(m, np.int64)
+        mark(yes, zone * 4 + far, [f"#zone{z}{d}" for z in ZONES for d in range(4)])
+        mark(yes, last, ["#end" + _ENDS.get(x, "0" if x.isdigit() else "a") for x in signs])
+        mark(yes, np.array([min(x, 40).bit_length() for x in range(int(n.max()) + 1 if m else 1)])[n], [f"#len{x}" for x in range(7)])
+        mark(site, zero, ["#site"])
+        mark(seen, zero, ["#title"])
+        mark(plain, separators, [f"#sep{x}" for x in range(4)])
+        mark(plain & pc.match_substring(text, "©").to_numpy(zero_copy_only=False), zero, ["#copy"])
+        mark(plain & (n > 1) & pc.utf8_is_upper(text).to_numpy(zero_copy_only=False), zero, ["#upper"])
+        mark(plain & pc.match_substring_regex(text, r"^(?:[-*•▸]|\d+[.)]?\s)").to_numpy(zero_copy_only=False), zero, ["#item"])
+        mark(shaped, zone * len(shapes) + every, [f"~{z}{x}" for z in ZONES for x in shapes])
+        mark(shaped & self.in_run, every, [f"~~{x}" for x in shapes])
+        # a repeated short line just before: a heading under which other stories stand, a prompt, a byline ...
+        told = np.zeros(m, bool)
+        told[1:] = short[1:] & short[:-1] & (self.among[:-1] > 1) & (self.page[1:] == self.page[:-1])
+        before = np.flatnonzero(told) - 1
+        code, called = _coded(pa.array([" ".join(low[i].split()) for i in before], pa.string()))
+        after = np.zeros(m, np.int64)
+        after[before + 1] = code
+        mark(told, after, [f"<={x}" for x in called])
+        self.kind = zone * 2 + short
+        names_of = ["0" if w[0].isdigit() else w for w in self.words.dictionary.to_pylist()]
+        self.vocabulary, self.spoken = names_of + vocabulary, len(self.words)
+        self.token = np.concatenate([self.words.indices.to_numpy().astype(np.int64), *[x + len(names_of) for x in codes]])
+        self.owner = np.concatenate([np.repeat(k, n), *owner])
+
+    def repetition(self) -> np.ndarray:
+        """How much of REPEATED each line's repetition amounts to; a page's own headline may differ from others of its site in numbers only."""
+        return np.where(self.seen, 0.0, np.minimum(self.among - 1, REPEATED - 1) / (REPEATED - 1))
+
+    def next(self, base: np.ndarray) -> np.ndarray:
+        """For each line a code in NEXT: how the line after it scores."""
+        out = np.full(len(base), 3)
+        out[:-1] = np.where(self.page[1:] != self.page[:-1], 3, np.select([base < -2, base > 2], [0, 2], 1)[1:])
+        return out
+
+    def scores(self, weights: dict[str, float]) -> np.ndarray:
+        w = np.array([weights.get(x, 0.0) for x in self.vocabulary])
+        word, mark = (np.bincount(self.owner[x], w[self.token[x]], len(self.counts)) for x in (slice(None, self.spoken), slice(self.spoken, None)))
+        again = self.repetition()
+        base = word * (1 - again) + mark - REPEAT * again
+        return base + np.array([weights.get(x, 0.0) for x in NEXT])[self.next(base)]
+
+    def furniture(self, weights: dict[str, float]) -> np.ndarray:
+        """Whether each line is outside the best runs of its page."""
+        s = self.scores(weights)
+        out, inside = ((s + np.array([weights.get(f"{x}{k}", 0.0) for k in range(2 * len(ZONES))])[self.kind]).tolist() for x in PREVIOUS)
+        gone = np.ones(len(s), bool)
+        for lo, hi in zip(self.cuts.tolist(), self.cuts[1:].tolist()):
+            gone[lo:hi] = ~np.array(kept_runs(inside[lo:hi], out[lo:hi]), bool)
+        return gone
+
+    def labels(self, texts: np.ndarray) -> np.ndarray:
+        """1 for furniture, 0 for main text, NaN for lines that nothing labels; texts: each page's number of texts of its site."""
+        again = self.among >= REPEATED
+        lone = (self.among == 1) & (texts[self.page] >= REPEATED)
+        beside = np.zeros(len(again), bool)
+        same = self.page[1:] == self.page[:-1]
+        beside[1:] |= same & (self.among[:-1] > 1)
+        beside[:-1] |= same & (self.among[1:] > 1)
+        main = lone & (~self.short | self.own | self.in_run | ((self.zone == 4) & ~beside))
+        return np.where(again & ~self.own, 1.0, np.where(main | self.own, 0.0, np.nan))
+
+
+#: no long line; before a title, before the text of a page without one, after it, between, long
+ZONES = "nhHtbp"
+NEXT = [f">{level}" for level in "nzp."]
+#: marks for a line of a kind (zone, short or not) after one that is furniture, or main text
+PREVIOUS = ("<f", "<m")
+
+
+def kept_runs(scores: list[float], first: list[float] | None = None, price: float = PRICE) -> list[bool]:
+    """The lines of the line runs with the largest sum of scores, each run after the first costing ``price``; one scan forward, one back.  first: what a line scores as the first one of a run, if that differs."""
     inside, outside, back = -np.inf, 0.0, []
-    for k, s in enumerate(scores):
-        opened = outside - (price if k else 0)
-        stay = inside >= opened
+    for k, (s, f) in enumerate(zip(scores, first or scores)):
+        opened = outside - (price if k else 0) + f
+        stay = inside + s >= opened
         leave = inside > outside
-        inside, outside = (inside if stay else opened) + s, inside if leave else outside
+        inside, outside = inside + s if stay else opened, inside if leave else outside
         back.append((stay, leave))
     keep, state = [False] * len(scores), inside > outside
     for k in range(len(scores) - 1, -1, -1):
@@ -121,143 +214,95 @@ def kept_runs(scores: list[float], price: float = PRICE) -> list[bool]:
     return keep
 
 
-def _recurring(line: str) -> bool:
-    """Whether a word of four letters or more makes up three tenths of the line."""
-    words = line.lower().split()
-    return len(words) >= 6 and max((n for w, n in Counter(words).items() if len(w) > 3), default=0) >= 0.3 * len(words)
-
-
-def furniture(pages: list[Page], offsets: np.ndarray, scores: np.ndarray, counts: np.ndarray) -> list[tuple[list[bool], list[bool]]]:
-    """For each page, whether each filled line is furniture, and whether it is the page's own headline."""
-    out = []
-    for p, (a, z) in zip(pages, zip(offsets.tolist(), offsets[1:].tolist())):
-        s = scores[a:z].tolist()
-        gone = [not x for x in kept_runs(s)]
-        n = counts[a:z].tolist()
-        texts = [p.lines[i].strip() if m < PARAGRAPH else "" for i, m in zip(p.filled, n)]
-        short = [bool(x) and bool(_TITLELIKE.match(x)) and not _ITEM.match(x) for x in texts]
-        start = p.title[:4]
-        own = [len(x) > 8 and len(p.title) > 8 and x.lower().startswith(start) and p.title.startswith(" ".join(x.lower().split())) for x in texts]
-        for kind in (_TAGS.search, _GOODS.search, _LINK.search, _recurring):
-            same = [q for q, i in enumerate(p.filled) if gone[q] and kind(p.lines[i].strip())]
-            if len(same) >= 5:  # tags, goods, links or the same keyword line after line are the page's matter, such as it is
-                for q in same:
-                    gone[q] = False
-        k = 0
-        while k < len(texts):
-            # a heading of furniture with headlines below it: a list of other stories
-            if gone[k] and s[k] < 0 and n[k] <= 6 and not own[k]:
-                j = k + 1
-                while j < len(texts) and short[j] and not own[j] and (s[j] > -2 or gone[j]):
-                    j += 1
-                stories = range(k + 1, j)
-                if len(stories) >= 2:
-                    headline = j < len(texts) and not gone[j] and not short[j] and not any(own)
-                    for q in stories[: len(stories) - headline]:
-                        gone[q] = True
-                k = max(j, k + 1)
-            else:
-                k += 1
-        for q, x in enumerate(own):
-            if x:
-                gone[q] = False
-        out.append((gone, own))
-    return out
-
-
-def fit(df: DataFrame, ident: str, host: str, title: str, text: str, labelled: int = LABELLED_PAGES, least: int = REPEATED, counted: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> dict[str, float]:
-    """Weights of words and marks, from about ``labelled`` pages (drawn by a hash of their ident, one of each text of a site; all, if there are no more); the repetition that labels their lines is counted over the texts of all pages.
-
-    counted: what counted_lines gave for df, if it is at hand.
+def slices(batches: Iterator[pa.RecordBatch], hide: bool = False) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    """Parts of the batches with their lines; hide: the marks don't see the title of every second page, so that headlines are learnt without it too."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
+            yield b, Lines(b, np.arange(b.num_rows) % 2 == 1 if hide else None)
+
+
+def with_places(rows: DataFrame, counted: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """rows (ident, ...) with ``places``: the lines that stand in several texts of their site, and in how many."""
+    base, _, counts = counted
+    return rows.join(places_counted(base, counts.where("c > 1")), "ident", "left")
+
+
+def fit(rows: DataFrame, counted: tuple[DataFrame, DataFrame, DataFrame], labelled: int = LABELLED_PAGES) -> dict[str, float]:
+    """Weights of words and marks, from about ``labelled`` texts (drawn by a hash of their ident, one of each text of a site; all, if there are no more); the repetition that labels their lines is counted over the texts of all pages.
+
+    rows: ident, host, title, text; counted: what counted_lines gave for them.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
-    _, clusters, counts = counted or counted_lines(rows, "ident", "host", "text")
+    _, clusters, _ = counted
     sizes = clusters.groupBy("src").agg(F.count("*").alias("texts"))
     share = labelled / max(clusters.count(), 1)
-    drawn = clusters.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))).select("src", F.struct(F.col("rep").alias("ident"), "sig_a", "sig_b").alias("which"))
-    drawn = staged(drawn.groupBy("which").agg(F.min("src").alias("src")), "drawn-texts")
-    signed = rows.withColumn("which", F.struct("ident", F.xxhash64("text").alias("sig_a"), F.hash("text").alias("sig_b")))
-    sample = staged(signed.join(F.broadcast(drawn) if size_of(drawn) <= BROADCAST_BYTES else drawn, "which").drop("which").dropDuplicates(["ident"]), "labelled-pages")
-    places = sample.select("ident", "src", F.posexplode(line_keys(F.col("text"), F.col("host"))).alias("pos", "key")).where("key is not null")
-    seen = places.join(counts, "key").join(sizes, "src").where(f"c >= {least} or (c = 1 and texts >= 20)")
-    labels = seen.groupBy("ident").agg(F.collect_list(F.struct("pos", (F.col("c") >= least).alias("f"))).alias("labels"))
-    sample = staged(sample.join(labels, "ident", "left"), "labelled-lines")
+    drawn = clusters.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(min(share, 1) * (1 << 30))).join(sizes, "src", "left")
+    drawn = staged(drawn.groupBy(F.col("rep").alias("ident")).agg(F.coalesce(F.max("texts"), F.lit(0)).alias("texts")), "drawn-texts")
+    sample = rows.join(F.broadcast(drawn) if size_of(drawn) <= BROADCAST_BYTES else drawn, "ident").dropDuplicates(["ident"])
+    sample = staged(with_places(sample, counted), "labelled-pages")
     weights: dict[str, float] = {}
-    for _ in range(2):
-        sent = df.sparkSession.sparkContext.broadcast(dict(weights))
+    for _ in range(ROUNDS):
+        sent = rows.sparkSession.sparkContext.broadcast(dict(weights))
 
-        def count(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = sent.value
-            text_n, furn_n = Counter(), Counter()
-            for b in batches:
-                pages, offsets, vocabulary, t, o, words = page_features(b["host"].tolist(), b["title"].tolist(), b["text"].tolist())
-                y = np.full(offsets[-1], np.nan)
-                for p, a, marked in zip(pages, offsets, b["labels"]):
-                    said = {} if marked is None else {x["pos"]: x["f"] for x in marked}
-                    for k, i in enumerate(p.filled):
-                        if i in said:
-                            if said[i]:
-                                y[a + k] = 1.0
-                            elif words[a + k] >= PARAGRAPH:
-                                y[a + k] = 0.0
+            text_n, furniture_n = Counter(), Counter()
+            for b, lines in slices(batches, hide=True):
+                y = lines.labels(b.column("texts").to_numpy())
+                token, owner, vocabulary = lines.token, lines.owner, lines.vocabulary
                 if known:
-                    guess = 1 / (1 + np.exp(np.clip(line_scores(vocabulary, t, o, len(y), known), -30, 30)))
-                    y = np.where(np.isnan(y), guess, y)
-                ok = ~np.isnan(y[o])
-                code = np.unique(t[ok] + o[ok] * np.int64(len(vocabulary)))
-                t1, y1 = code % len(vocabulary), y[code // len(vocabulary)]
-                f, c = np.bincount(t1, y1, len(vocabulary)), np.bincount(t1, 1 - y1, len(vocabulary))
-                for x, u, v in zip(vocabulary, f, c):
-                    furn_n[x] += u
-                    text_n[x] += v
-                furn_n[""] += np.nansum(y)
+                    s = lines.scores(known)
+                    y = np.where(np.isnan(y), 1 / (1 + np.exp(np.clip(s, -30, 30))), y)
+                    token = np.concatenate([token, lines.next(s) + len(vocabulary)])
+                    owner = np.concatenate([owner, np.arange(len(y))])
+                    vocabulary = vocabulary + NEXT
+                ok = ~np.isnan(y[owner])
+                code = np.unique(token[ok] + owner[ok] * np.int64(len(vocabulary)))
+                t, v = code % len(vocabulary), y[code // len(vocabulary)]
+                f, c = np.bincount(t, v, len(vocabulary)), np.bincount(t, 1 - v, len(vocabulary))
+                for i in np.flatnonzero(f + c):
+                    furniture_n[vocabulary[i]] += f[i]
+                    text_n[vocabulary[i]] += c[i]
+                # how often a line of each kind follows furniture, and main text
+                pair = np.flatnonzero((lines.page[1:] == lines.page[:-1]) & ~np.isnan(y[1:] + y[:-1]))
+                for x, p in zip(PREVIOUS, (y[pair], 1 - y[pair])):
+                    for n, q in ((furniture_n, y[pair + 1]), (text_n, 1 - y[pair + 1])):
+                        for i, v in enumerate(np.bincount(lines.kind[pair + 1], p * q, 2 * len(ZONES))):
+                            n[f"{x}{i}"] += v
+                furniture_n[""] += np.nansum(y)
                 text_n[""] += np.nansum(1 - y)
-            yield pd.DataFrame({"token": pd.Series(list(text_n), dtype=object), "c": [float(x) for x in text_n.values()], "f": [float(furn_n[x]) for x in text_n]})
+            yield pa.RecordBatch.from_pydict({"token": pa.array(list(text_n), pa.string()), "c": pa.array([float(x) for x in text_n.values()], pa.float64()), "f": pa.array([float(furniture_n[x]) for x in text_n], pa.float64())})
 
-        got = sample.mapInPandas(count, "token string, c double, f double").groupBy("token").agg(F.sum("c").alias("c"), F.sum("f").alias("f"))
-        got = {r["token"]: (r["c"], r["f"]) for r in got.where("c + f >= 3").collect()}
+        got = sample.mapInArrow(count, "token string, c double, f double").groupBy("token").agg(F.sum("c").alias("c"), F.sum("f").alias("f")).toArrow().to_pydict()
+        got = {k: (c, f) for k, c, f in zip(got["token"], got["c"], got["f"])}
         if "" not in got:
             return {}
         nc, nf = (x + 1 for x in got.pop(""))
-        weights = {k: float(np.clip(np.log((c + 0.3) / nc) - np.log((f + 0.3) / nf), -CLIP, CLIP)) for k, (c, f) in got.items()}
+        weights = {k: float(np.clip(np.log((c + 1) / nc) - np.log((f + 1) / nf), -CLIP, CLIP)) for k, (c, f) in got.items()}
+        for k in range(2 * len(ZONES)):  # of these only what they tell beyond the kind itself
+            c, f = ([got.get(f"{x}{k}", (0.0, 0.0))[i] + 1 for x in PREVIOUS] for i in (0, 1))
+            weights |= {f"{x}{k}": float(np.clip(np.log(c[i] / sum(c)) - np.log(f[i] / sum(f)), -CLIP, CLIP)) for i, x in enumerate(PREVIOUS)}
     return weights
 
 
-def repeated_places(counted: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
-    """Columns ident and line_no of the lines that are furniture for standing in ``REPEATED`` texts of their site; counted: of counted_lines."""
-    base, _, counts = counted
-    return places_of(base, counts.where((F.col("n") >= REPEATED) & (F.col("c") >= REPEATED)), "ident")
+def pages_of(df: DataFrame, ident: str, host: str, title: str, text: str) -> DataFrame:
+    return df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
 
 
 def furniture_lines(df: DataFrame, ident: str, host: str, title: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Columns ident and line_no of every line that is furniture; blank lines never are.
 
-    To be repeated in ``REPEATED`` different texts of the site is a mark that outweighs all words: standing notices may read like any
-    sentence.  Those lines are found by their keys alone and united with the scanned ones, so that page texts need no shuffle.
-
     Null idents and null or empty texts have no rows; a null title or host only takes away its hint; repeated rows count once.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
+    rows = pages_of(df, ident, host, title, text)
     counted = counted_lines(rows, "ident", "host", "text")
-    weights = fit(rows, "ident", "host", "title", "text", counted=counted) if weights is None else weights
+    weights = fit(rows, counted) if weights is None else weights
     sent = df.sparkSession.sparkContext.broadcast(weights)
-    again = repeated_places(counted)
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                b = whole.iloc[at : at + 512]
-                pages, offsets, vocabulary, t, o, words = page_features(b["host"].tolist(), b["title"].tolist(), b["text"].tolist())
-                scores = line_scores(vocabulary, t, o, int(offsets[-1]), sent.value)
-                who, line, flag = [], [], []
-                for ident, p, (gone, own) in zip(b["ident"].tolist(), pages, furniture(pages, offsets, scores, words)):
-                    hit = [(i + 1, g) for i, g, o in zip(p.filled, gone, own) if g or o]
-                    who += [ident] * len(hit)
-                    line += [i for i, _ in hit]
-                    flag += [g for _, g in hit]
-                yield pd.DataFrame({"ident": pd.Series(who, dtype=b["ident"].dtype), "line_no": np.array(line, np.int32), "gone": np.array(flag, bool)})
-
-    marked = rows.mapInPandas(mark, f"ident {rows.schema['ident'].dataType.simpleString()}, line_no int, gone boolean")
-    # a page's own headline stays, even if it differs from others of its site in numbers only
-    both = marked.unionByName(again.withColumn("gone", F.lit(True))).groupBy("ident", "line_no").agg(F.bool_and("gone").alias("gone"))
-    return both.where("gone").select(F.col("ident").alias(ident), "line_no")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lines in slices(batches):
+            gone = lines.furniture(sent.value)
+            yield pa.RecordBatch.from_pydict({"ident": b.column("ident").take(pa.array(lines.page[gone])), "line_no": pa.array(lines.number[gone], pa.int32())})
+
+    found = with_places(rows, counted).mapInArrow(scan, f"ident {rows.schema['ident'].dataType.simpleString()}, line_no int")
+    return found.distinct().withColumnRenamed("ident", ident)

@@ -58,6 +58,13 @@ def places_of(base: DataFrame, often: DataFrame, ident: str) -> DataFrame:
     return places.join(often.select("key"), "key").select(F.col("ident").alias(ident), (F.col("pos") + 1).cast("int").alias("line_no"))
 
 
+def places_counted(base: DataFrame, often: DataFrame) -> DataFrame:
+    """Of every ident with a line whose key is in often: ident and places, the positions (from 0) of those lines with their number of clusters."""
+    at = base.where("src is not null").select("ident", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+    found = at.join(often.select("key", F.col("c").cast("int").alias("c")), "key")
+    return found.groupBy("ident").agg(F.collect_list(F.struct("pos", "c")).alias("places"))
+
+
 def repeated_lines(df: DataFrame, ident: str, source: str, text: str, min_documents: int = 5, min_clusters: int = 1, date: str | None = None, min_dates: int = 1) -> DataFrame:
     """Lines that occur in at least ``min_documents`` documents of their source: columns ident, line_no (from 1, blank lines counted).
 

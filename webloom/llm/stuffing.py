@@ -9,15 +9,14 @@ links).  A page is spam if more than half of its words outside furniture stand i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from webloom.llm.boilerplate import PARAGRAPH, fit, furniture, line_scores, page_features, repeated_places
+from webloom.llm.boilerplate import PARAGRAPH, fit, pages_of, slices, with_places
 from webloom.llm.site_lines import counted_lines
 from webloom.llm.words import word_lists
 
@@ -32,13 +31,15 @@ i w z na się nie że do jest są był o po za gdy już lecz według pod
 """.split())
 
 WINDOW, LAGS, RECURRING, REGULAR, FUNCTION_SHARE, SHARE = 24, 12, 0.4, 0.25, 0.06, 0.5
-_LIST = re.compile(r"::|\s[|»-]\s|#\w|,.*,.*,.*,")
-_LINK = re.compile(r"\bhttps?://\S+|\bwww\.\S+")
+_LIST = r"::|\s[|»-]\s|#\w|,.*,.*,.*,"
+_LINK = r"\bhttps?://\S+|\bwww\.\S+"
+_END = r"[.!?…”»]\s*$"
 
 
-def stuffed_lines(lines: list[str], pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each line is stuffed, and its number of words; pages: the page each line is of."""
-    words, counts = word_lists(lines)
+def stuffed_lines(lines: pa.Array, pages: np.ndarray, words: pa.DictionaryArray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is stuffed, and its number of words; pages: the page each line is of; words and counts: of word_lists, if at hand."""
+    if words is None:
+        words, counts = word_lists(lines)
     names = words.dictionary.to_pylist()
     function = np.array([w in FUNCTION_WORDS for w in names], bool)
     code = {}
@@ -64,8 +65,9 @@ def stuffed_lines(lines: list[str], pages: np.ndarray) -> tuple[np.ndarray, np.n
             hit = (t[lag:] == t[:-lag]) & (line[lag:] == line[:-lag]) & ~f[lag:]
             regular = np.maximum(regular, np.bincount(line[lag:], hit, n) / per)
     functions = np.bincount(line, f, n) / per
-    link = np.array([bool(_LINK.search(x)) for x in lines], bool)
-    sentence = np.array([x.rstrip()[-1] in ".!?…”»" and not _LIST.search(x) for x in lines], bool)
+    has = lambda pattern: pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    link = has(_LINK)
+    sentence = has(_END) & ~has(_LIST)
     stuffed = ((counts >= 2) & (functions < FUNCTION_SHARE) & ~(sentence & (counts >= 4))) | ((counts >= PARAGRAPH) & ((recurring > RECURRING) | (regular > REGULAR))) | link
     return stuffed & (counts > 0), counts
 
@@ -73,41 +75,20 @@ def stuffed_lines(lines: list[str], pages: np.ndarray) -> tuple[np.ndarray, np.n
 def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weights: dict[str, float] | None = None) -> DataFrame:
     """Column ident of every page of whose words outside furniture more than half stand in stuffed lines.
 
-    Furniture is what furniture_lines of webloom.llm.boilerplate takes for it: lines told by the weights, and lines repeated in several
-    texts of the site unless they are the page's own headline.  Only pages without any stuffed word are left out before the
-    lines are scored.
+    Furniture is what the scan of webloom.llm.boilerplate takes for it; every page is scanned.
     Null idents and null or empty texts give no row, repeated rows one.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("ident"), F.col(host).alias("host"), F.col(title).alias("title"), F.col(text).alias("text"))
+    rows = pages_of(df, ident, host, title, text)
     counted = counted_lines(rows, "ident", "host", "text")
-    weights = fit(rows, "ident", "host", "title", "text", counted=counted) if weights is None else weights
+    weights = fit(rows, counted) if weights is None else weights
     sent = df.sparkSession.sparkContext.broadcast(weights)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Number, words and whether it is stuffed of each line that the weights leave, for pages with a stuffed one; an own headline has number 0, so that no repetition takes it."""
-        for whole in batches:
-            for at in range(0, len(whole), 512):
-                b = whole.iloc[at : at + 512]
-                lists = [[x for x in t.split("\n") if x and not x.isspace()] for t in b["text"]]
-                page = np.repeat(np.arange(len(b)), [len(x) for x in lists])
-                bad, counts = stuffed_lines([x for y in lists for x in y], page)
-                look = np.bincount(page, counts * bad, len(b)) > 0
-                if not look.any():
-                    continue
-                c, bad = b[look], bad[look[page]]
-                pages, offsets, vocabulary, t, o, words = page_features(c["host"].tolist(), c["title"].tolist(), c["text"].tolist())
-                gone = furniture(pages, offsets, line_scores(vocabulary, t, o, int(offsets[-1]), sent.value), words)
-                out = []
-                for ident, p, a, z, (g, own) in zip(c["ident"].tolist(), pages, offsets, offsets[1:], gone):
-                    left = ~np.array(g, bool)
-                    n, s = words[a:z][left], bad[a:z][left]
-                    if (n * s).any():
-                        out.append((ident, np.where(own, 0, np.array(p.filled) + 1)[left].astype(np.int32), n.astype(np.int32), s))
-                yield pd.DataFrame({"ident": pd.Series([x[0] for x in out], dtype=c["ident"].dtype)} | {k: pd.Series([x[i] for x in out], dtype=object) for i, k in enumerate(("numbers", "words", "stuffed"), 1)})
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, lines in slices(batches):
+            bad, n = stuffed_lines(lines.raw, lines.page, lines.words, lines.counts)
+            own = n * ~lines.furniture(sent.value)
+            spam = np.bincount(lines.page, own * bad, lines.n) > SHARE * np.bincount(lines.page, own, lines.n)
+            yield pa.RecordBatch.from_pydict({"ident": b.column("ident").filter(pa.array(spam))})
 
-    left = rows.mapInPandas(judge, f"ident {rows.schema['ident'].dataType.simpleString()}, numbers array<int>, words array<int>, stuffed array<boolean>")
-    again = repeated_places(counted).groupBy("ident").agg(F.collect_set("line_no").alias("again"))
-    lines = F.filter(F.arrays_zip("numbers", "words", "stuffed"), lambda x: ~F.array_contains(F.coalesce("again", F.array().cast("array<int>")), x.numbers))
-    total = lambda pick: F.aggregate(F.filter("lines", pick), F.lit(0), lambda n, x: n + x.words)
-    spam = left.join(again, "ident", "left").select("ident", lines.alias("lines")).where(total(lambda x: x.stuffed) > SHARE * total(lambda x: F.lit(True)))
-    return spam.select("ident").distinct().withColumnRenamed("ident", ident)
+    found = with_places(rows, counted).mapInArrow(judge, f"ident {rows.schema['ident'].dataType.simpleString()}")
+    return found.distinct().withColumnRenamed("ident", ident)
