@@ -270,7 +270,10 @@ def test_spam(spark):
     spam = [(100, "h0.example", None, "\n".join("buy lamp cheap lamp best lamp online lamp sale lamp" for _ in range(8))), (101, "h1.example", "cheap", "\n".join(f"Lamp red SKU{i} -10% 9,99" for i in range(20))), (102, "h1.example", "x", "\n".join(f"www.a{i}.example/x" for i in range(20)))]
     df = pages(spark, [*rows, *spam, (900, None, None, None), (901, "h", None, " \n ")])
     assert {r[0] for r in spam_pages(df, "page_id", "host", "title", "content").collect()} == {100, 101, 102}
-    assert not stuffed_lines(pa.array(["Some story missed the morning; others seemed quiet to the man."]), np.zeros(1, int))[0].any()
+    assert not stuffed_lines(pa.array(["Some story missed the morning; others seemed quiet to the man."]))[0].any()
+    garbled = "«Вечер большой», — сказал Selmork, — «но сосед ждёт 44 дней». «Лес большой», — сказал Horwull, — «но сосед ждёт 9 дней»."
+    assert not stuffed_lines(pa.array([garbled, charsets_break(garbled)]))[0].any()
+    assert stuffed_lines(pa.array(["Looking for top lamp? Our lamp is the online lamp for lamp in Town, price lamp.", "cheap lamp, buy lamp, sale rug, best lamp, free rug, top rug, 2025 lamp, deal rug"]))[0].all()
 
 
 @pytest.mark.parametrize("words", [40, 150])

@@ -1,6 +1,6 @@
 """Keyword-stuffed and link-list pages.
 
-Words are looked at in their places.  The gap of a word is its distance to the same word before it in the page; the autocorrelation at
+Words are looked at in their places.  The gap of a word is its distance to the same word before it in the line; the autocorrelation at
 a lag is the share of a line's words that stand again that many words on.  Text made of sentences has function words in every
 line, and its other words recur at irregular, long gaps.  A line is stuffed if its words recur at short, regular gaps (many within the
 lag window, or a high autocorrelation at some lag), or if it is a list of distinct words without function words (tags, goods,
@@ -30,14 +30,16 @@ i w z na się nie że do jest są był o po za gdy już lecz według pod
 и в на не с что по из был была это к у за без но я о
 """.split())
 
-WINDOW, LAGS, RECURRING, REGULAR, FUNCTION_SHARE, SHARE = 24, 12, 0.4, 0.25, 0.06, 0.5
-_LIST = r"::|\s[|»-]\s|#\w|,.*,.*,.*,"
+#: for lines that are lists, and for lines of sentences (whose frame may recur once a sentence): gap within which a word recurs, least share of recurring words, least autocorrelation
+LISTS, SENTENCES = (24, 0.4, 0.25), (7, 0.2, 0.3)
+LAGS, LETTERS, FUNCTION_SHARE, SHARE = 12, 3, 0.06, 0.5
+_LIST = r"::|\s[|»-]\s|#\w"
 _LINK = r"\bhttps?://\S+|\bwww\.\S+"
 _END = r"[.!?…”»]\s*$"
 
 
-def stuffed_lines(lines: pa.Array, pages: np.ndarray, words: pa.DictionaryArray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each line is stuffed, and its number of words; pages: the page each line is of; words and counts: of word_lists, if at hand."""
+def stuffed_lines(lines: pa.Array, words: pa.DictionaryArray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is stuffed, and its number of words; words and counts: of word_lists, if at hand."""
     if words is None:
         words, counts = word_lists(lines)
     names = words.dictionary.to_pylist()
@@ -50,25 +52,25 @@ def stuffed_lines(lines: pa.Array, pages: np.ndarray, words: pa.DictionaryArray
     idx = words.indices.to_numpy()
     t, f = plain[idx], function[idx]
     line = np.repeat(np.arange(n), counts)
-    page = pages[line]
     per = np.maximum(counts, 1)
-    # gaps: positions of the same word of the same page, in order
-    order = np.lexsort((np.arange(len(t)), t, page))
-    same = (t[order][1:] == t[order][:-1]) & (page[order][1:] == page[order][:-1])
+    # words of one or two letters are left out: they may be what a wrong decoding made of one letter
+    said = ~f & np.array([len(w) >= LETTERS for w in names], bool)[idx]
+    has = lambda pattern: pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    sentence = has(_END) & ~has(_LIST)
+    window, least, regularity = (np.where(sentence, y, x) for x, y in zip(LISTS, SENTENCES))
+    # gaps: positions of the same word of the same line, in order
+    order = np.lexsort((np.arange(len(t)), t, line))
+    same = (t[order][1:] == t[order][:-1]) & (line[order][1:] == line[order][:-1])
     near = np.zeros(len(t), bool)
-    near[order[1:]] = same & (order[1:] - order[:-1] <= WINDOW)
-    matter = np.maximum(np.bincount(line, ~f, n), 1)
-    recurring = np.bincount(line, near & ~f, n) / matter
+    near[order[1:]] = same & (order[1:] - order[:-1] <= window[line[order[1:]]])
+    recurring = np.bincount(line, near & said, n) / np.maximum(np.bincount(line, ~f, n), 1)
     regular = np.zeros(n)
     for lag in range(1, LAGS + 1):
         if len(t) > lag:
-            hit = (t[lag:] == t[:-lag]) & (line[lag:] == line[:-lag]) & ~f[lag:]
+            hit = (t[lag:] == t[:-lag]) & (line[lag:] == line[:-lag]) & said[lag:]
             regular = np.maximum(regular, np.bincount(line[lag:], hit, n) / per)
     functions = np.bincount(line, f, n) / per
-    has = lambda pattern: pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
-    link = has(_LINK)
-    sentence = has(_END) & ~has(_LIST)
-    stuffed = ((counts >= 2) & (functions < FUNCTION_SHARE) & ~(sentence & (counts >= 4))) | ((counts >= PARAGRAPH) & ((recurring > RECURRING) | (regular > REGULAR))) | link
+    stuffed = ((counts >= 2) & (functions < FUNCTION_SHARE) & ~(sentence & (counts >= 4))) | ((counts >= PARAGRAPH) & ((recurring > least) | (regular > regularity))) | has(_LINK)
     return stuffed & (counts > 0), counts
 
 
@@ -85,7 +87,7 @@ def spam_pages(df: DataFrame, ident: str, host: str, title: str, text: str, weig
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, lines in slices(batches):
-            bad, n = stuffed_lines(lines.raw, lines.page, lines.words, lines.counts)
+            bad, n = stuffed_lines(lines.raw, lines.words, lines.counts)
             own = n * ~lines.furniture(sent.value)
             spam = np.bincount(lines.page, own * bad, lines.n) > SHARE * np.bincount(lines.page, own, lines.n)
             yield pa.RecordBatch.from_pydict({"ident": b.column("ident").filter(pa.array(spam))})
