@@ -2,7 +2,7 @@
 
 Each text becomes a sketch of one-bit minhashes over its word runs, in which two texts of Jaccard similarity J differ in about
 (1-J)/2 of the bits.  Sketches are sharded by bands of full minhashes (a band is the root path of the trie that must agree); inside
-a shard, and over all shards of a task at once, pairs of trie nodes are walked together, byte by byte; the differing bits add up and
+a shard, and over all shards of a task at once, pairs of trie nodes are walked together, bit by bit; the differing bits add up and
 a pair is left as soon as they exceed the budget.  A shard of more than ``block`` members is split into blocks, each pair of
 blocks a task of its own, so that no shard is bound to one task and none is capped.
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.words import mix, shingles, word_hashes
@@ -78,12 +78,14 @@ def trie_pairs(shard: np.ndarray, sketch: np.ndarray, budget: int) -> Iterator[t
     n, width = sketch.shape
     if n < 2:
         return
+    bits = np.unpackbits(sketch, axis=1)
+    words = np.ascontiguousarray(np.pad(sketch, ((0, 0), (0, -width % 8)))).view(np.uint64)
+    width *= 8
     new = np.concatenate([[True], shard[1:] != shard[:-1]])
     levels = [np.flatnonzero(new)]  # first rows of the nodes of each depth
     for d in range(width):
-        new[1:] |= sketch[1:, d] != sketch[:-1, d]
+        new[1:] |= bits[1:, d] != bits[:-1, d]
         levels.append(np.flatnonzero(new))
-    words = np.ascontiguousarray(np.pad(sketch, ((0, 0), (0, -width % 8)))).view(np.uint64)
     roots = np.concatenate([levels[0], [n]])
     many = np.flatnonzero(np.diff(roots) > 1)
     lo, hi = roots[many], roots[many + 1]
@@ -110,7 +112,7 @@ def trie_pairs(shard: np.ndarray, sketch: np.ndarray, budget: int) -> Iterator[t
             stack.append((depth, alo[cut:], ahi[cut:], blo[cut:], bhi[cut:], err[cut:]))
             alo, blo, ac, an, bc, bn, err = (x[:cut] for x in (alo, blo, ac, an, bc, bn, err))
         row, a, b = _product(ac, an, bc, bn)
-        e = err[row] + np.bitwise_count(sketch[firsts[a], depth] ^ sketch[firsts[b], depth])
+        e = err[row] + (bits[firsts[a], depth] ^ bits[firsts[b], depth])
         ok = (e <= budget) & ((alo[row] != blo[row]) | (a <= b))
         ok &= (a != b) | (firsts[a + 1] - firsts[a] > 1)
         a, b, e = a[ok], b[ok], e[ok]
@@ -191,10 +193,18 @@ def similar_pairs(df: DataFrame, ident: str, text: str, k: int = 5, least: float
     return classes, links
 
 
-def expanded(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs (a, b), a < b, of idents that are of one class or of linked classes."""
-    one, two = classes.select(F.col("rep").alias("ra"), F.col("ident").alias("x")), classes.select(F.col("rep").alias("rb"), F.col("ident").alias("y"))
-    sized = classes.withColumn("n", F.count("*").over(Window.partitionBy("rep"))).where("n > 1").select("rep", "ident").distinct()
-    same = sized.select("rep", F.col("ident").alias("x")).join(sized.select("rep", F.col("ident").alias("y")), "rep").where("x < y").select("x", "y")
+def expanded(classes: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b), a < b, of idents that are of one class or of linked classes, for those who need the copies spelt out.
+
+    A class of more than ``block`` idents is split into blocks, and each pair of blocks is a group of its own, so no class is bound to a task.
+    """
+    own = classes.where("rep is not null").distinct()
+    sizes = own.groupBy("rep").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    many = own.join(sizes.where("n > 1"), "rep").select("rep", F.col("ident").alias("x"), parts.alias("parts"), F.pmod(F.xxhash64("ident"), parts).cast("int").alias("bx"))
+    left = many.select("rep", "x", "bx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("by"))
+    right = many.select("rep", F.col("x").alias("y"), F.col("bx").alias("by"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bx"))
+    same = left.join(right, ["rep", "bx", "by"]).where("x < y").select("x", "y")
+    one, two = own.select(F.col("rep").alias("ra"), F.col("ident").alias("x")), own.select(F.col("rep").alias("rb"), F.col("ident").alias("y"))
     linked = links.select(F.col("a").alias("ra"), F.col("b").alias("rb")).join(one, "ra").join(two, "rb").select("x", "y")
     return same.unionByName(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -15,5 +15,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return expanded(classes, links).select(F.col("a").alias("page_a"), F.col("b").alias("page_b"))
 
 
-QUERIES = {"p6_found": p6_found}
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per page: its class of equal texts and the number of other classes similar to that."""
+    classes, links = similar_pairs(table(spark, folder, "index_docs"), "page_id", "content", k=3, least=0.7)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return classes.join(degree, "rep", "left").select(F.col("ident").alias("page_id"), F.col("rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes}
 SQL = {}
