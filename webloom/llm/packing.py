@@ -78,17 +78,22 @@ def packed(df: DataFrame, ident: str, text: str, capacity: int = 2048, vocabular
 
     A text of at most ``capacity`` tokens is one piece; a longer one is cut into pieces of ``capacity`` tokens and a last one of
     what is left.  Null and empty texts have no tokens: they get one row with 0 tokens and no container.  Repeated rows are packed
-    each for itself; rows with a null ident too; an empty table gives no rows.
+    each for itself; rows with a null ident too; an empty table gives no rows.  vocabulary: a file of a public tokenizer (a token in base
+    64 and its rank a line) that the driver can read; it goes to the tasks by broadcast.
     """
     spark = df.sparkSession
     texts = df.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
     idtype = texts.schema["ident"].dataType.simpleString()
 
+    if not 0 < capacity < 2**19:
+        raise ValueError("capacity: 1 to 524287")
+    with open(vocabulary, "rb") as f:  # read where the job is made; tasks need no file
+        words = spark.sparkContext.broadcast(f.read())
+
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, words.value.splitlines())}
         tok = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -111,8 +116,7 @@ def packed(df: DataFrame, ident: str, text: str, capacity: int = 2048, vocabular
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, first, _, container = sent.value
-        span = int(first.max()) + 1 if len(first) else 1
-        key = size * np.int64(2) ** 44 + first if span < 2**44 else None
+        key = size * np.int64(2) ** 44 + first  # 2^44 pieces of one size are more than 16 TB of tokens
         for b in batches:
             at = np.full(len(b), -1, np.int64)
             has = b["rank"].notna().to_numpy()
