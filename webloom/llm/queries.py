@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from webloom.llm import p2, p3, p4, p5, p6, p7, p8, p9, p10
 
-MODULES = ("p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9", "p10")
-
-
-def _all(what: str) -> dict:
-    out = {}
-    for m in MODULES:
-        try:
-            out |= getattr(import_module(f"webloom.llm.{m}"), what)
-        except ModuleNotFoundError as e:
-            if not (e.name or "").startswith("webloom.llm."):
-                raise
-    return out
+MODULES = (p2, p3, p4, p5, p6, p7, p8, p9, p10)
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return _all("SQL")
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
