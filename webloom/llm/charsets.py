@@ -40,7 +40,7 @@ CHAINS += [("lost", "", 1)]
 RUNS = re.compile(r"([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 _PLAIN = frozenset("\u00a0·•©«»–—“”’‘„…▸°")
 CLIP, REPLACED, IMPOSSIBLE, PRIOR_LINES, SOURCE_LINES = 14.0, -2.0, -9.0, 2.0, 20.0
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES, SPARSE = 32 << 20, 0.0
 
 
 @lru_cache(None)
@@ -93,6 +93,7 @@ class Model:
             self.first[p[0]] += n
             self.second[p[1]] += n
         self.total = max(sum(pairs.values()), 1.0)
+        self.logs: dict[str, float] = {}
         self.known: dict[str, np.ndarray] = {}
         self.changed: dict[str, np.ndarray] = {}
 
@@ -100,7 +101,10 @@ class Model:
         s = ((left or " ") + run + (right or " ")).lower().replace("\u00a0", " ")
         out = 0.0
         for a, b in zip(s, s[1:]):
-            out += math.log((self.pairs.get(a + b, 0.0) + 5 * (self.second.get(b, 0.0) + 0.5) / self.total) / (self.first.get(a, 0.0) + 5))
+            v = self.logs.get(a + b)
+            if v is None:
+                v = self.logs[a + b] = math.log((self.pairs.get(a + b, 0.0) + 5 * (self.second.get(b, 0.0) + 0.5) / self.total) / (self.first.get(a, 0.0) + 5))
+            out += v
         return out
 
     def gains(self, unit: str) -> np.ndarray:
@@ -170,11 +174,12 @@ def _posteriors(rows: pd.DataFrame, model: Model, prior: np.ndarray) -> tuple[np
     return post, who, np.array(number)
 
 
-def garbled_lines(df: DataFrame, ident: str, source: str, text: str, title: str, hints: DataFrame, hint_columns: tuple[str, str]) -> DataFrame:
+def garbled_lines(df: DataFrame, ident: str, source: str, text: str, title: str, hints: DataFrame, hint_columns: tuple[str, str], sparse: float = SPARSE) -> DataFrame:
     """Columns ident, line_no (INT, from 1) and chain (INT, index in CHAINS) of every garbled line of text; a garbled title is line 0.
 
     hints: rows with ident and two columns of noted encodings, unreliable: missing, repeated, misspelt or wrong ones only weaken or
-    mislead a prior.  The title is read as one line more, which is evidence for its page too.  Null idents and texts
+    mislead a prior.  sparse: chains of no larger posterior teach the pair model nothing (sparse EM; the default takes all);
+    they count in the chains' shares all the same.  The title is read as one line more, which is evidence for its page too.  Null idents and texts
     have no rows; a null source or title is a source, or no line; ASCII lines are never garbled; repeated rows count once.
     """
     spark = df.sparkSession
@@ -217,20 +222,20 @@ def garbled_lines(df: DataFrame, ident: str, source: str, text: str, title: str,
                         post = np.exp(post - post.max())
                         post /= post.sum()
                     for c, p in enumerate(post):
-                        if p > 0.02:
-                            u = undone(run, c)
-                            total["chain " + str(c)] += p * n
-                            if u is not None and CHAINS[c][0] != "lost":
-                                s = (left + u[0] + right).lower().replace("\u00a0", " ")
-                                for x, y in zip(s, s[1:]):
-                                    total[x + y] += p * n
+                        total["chain " + str(c)] += p * n
+                        if p <= sparse:
+                            continue
+                        u = undone(run, c) if CHAINS[c][0] != "lost" else None
+                        if u is not None:
+                            s = (left + u[0] + right).lower().replace("\u00a0", " ")
+                            for x, y in zip(s, s[1:]):
+                                total[x + y] += p * n
                 yield pd.DataFrame({"what": pd.Series(list(total), dtype=object), "n": list(total.values())})
                 total.clear()
 
         got = counted.mapInPandas(weigh, "what string, n double").groupBy("what").agg(F.sum("n").alias("n"))
-        total = got.agg(F.sum("n")).first()[0] or 1.0
-        # no more than a million pairs can have a millionth of all
-        got = {r["what"]: r["n"] for r in got.where(F.col("n") >= 1e-6 * total).collect()}
+        # pairs are bounded by the letters there are, not by the texts: see README
+        got = {r["what"]: r["n"] for r in got.collect()}
         model = Model({k: v for k, v in got.items() if len(k) == 2})
         shares = np.array([got.get(f"chain {c}", 0.0) + 1e-3 for c in range(len(CHAINS))])
         shares = 0.999 * shares / shares.sum() + 0.001 / len(CHAINS)
