@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text: winnowed fingerprints, joined and extended.
 
 Of every ``window`` consecutive hashes of k-word runs the least is kept, on both sides, so each shared span of at least
-k + window - 1 words has a kept hash in common.  A common hash is a hit, which is extended word by word in both directions; a
-document and an item are reported once an extended span has ``least`` words.
+k + window - 1 words has a kept hash in common.  The fingerprints (hash, text, position) of documents and items are joined on the hash;
+each common one is a hit, which is extended word by word in both directions; a document and an item are reported once an extended
+span has ``least`` words.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.words import shingles, word_hashes
+from webloom.plans.workspace import size_of, staged
 
-BLOCK_CHARS = 50_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def winnowed(words: np.ndarray, counts: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,65 +48,63 @@ def leaks(df: DataFrame, ident: str, text: str, items: DataFrame, item: str, ite
     Words are longest runs of letters and digits after lower-casing and dropping accents.  Null idents and texts on either side
     are left out, texts of fewer words than ``least`` can't match, repeated rows count once; an empty side gives no rows.
 
-    The items are the query set: they are taken in blocks of at most ``BLOCK_CHARS`` characters, each block sent to all tasks
-    (so its size is bounded) and run against all documents, whose texts are neither shuffled nor kept.
+    The items' fingerprints are broadcast if they take ``BROADCAST_BYTES`` at most; if not, both sides are shuffled by hash.  Only the
+    texts of documents and items with a common fingerprint are read again, to extend their hits.
     """
     window = least - k + 1
     if window < 1:
         raise ValueError("least must be at least k")
-    spark = df.sparkSession
     docs = df.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("ident"), F.col(text).alias("text"))
-    idtype, itemtype = docs.schema["ident"].dataType.simpleString(), items.schema[item].dataType.simpleString()
-    ids, texts, size, out = [], [], 0, None
-
-    def run(ids: list, texts: list) -> DataFrame:
-        words, counts = word_hashes(texts, accents=False)
-        kept, at = winnowed(words, counts, k, window)
-        order = np.argsort(kept, kind="stable")
-        owner = np.repeat(np.arange(len(counts)), counts)
-        sent = spark.sparkContext.broadcast((ids, words, owner, kept[order], at[order]))
-
-        def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, iwords, iowner, ikept, iat = sent.value
-            for whole in batches:
-                for lo in range(0, len(whole), 512):
-                    b = whole.iloc[lo : lo + 512]
-                    dwords, dcounts = word_hashes(b["text"].tolist(), accents=False)
-                    dkept, dat = winnowed(dwords, dcounts, k, window)
-                    l, r = np.searchsorted(ikept, dkept, "left"), np.searchsorted(ikept, dkept, "right")
-                    hit = np.flatnonzero(r > l)
-                    if not len(hit):
-                        continue
-                    n = (r - l)[hit]
-                    d = np.repeat(dat[hit], n)
-                    i = iat[np.repeat(l[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    downer = np.repeat(np.arange(len(b)), dcounts)
-                    span = np.zeros(len(d), np.int64)
-                    for step, start in ((1, 0), (-1, 1)):
-                        alive = np.arange(len(d))
-                        j = start
-                        while len(alive) and j <= least:
-                            x, y = d[alive] + step * j, i[alive] + step * j
-                            ok = (x >= 0) & (x < len(dwords)) & (y >= 0) & (y < len(iwords))
-                            alive, x, y = alive[ok], x[ok], y[ok]
-                            ok = (dwords[x] == iwords[y]) & (downer[x] == downer[d[alive]]) & (iowner[y] == iowner[i[alive]])
-                            alive = alive[ok]
-                            span[alive] += 1
-                            j += 1
-                    good = span >= least
-                    if good.any():
-                        who = np.unique(np.stack([downer[d[good]], iowner[i[good]]], axis=1), axis=0)
-                        yield pd.DataFrame({"ident": b["ident"].values[who[:, 0]], "item": [ids[q] for q in who[:, 1]]})
-
-        return docs.mapInPandas(match, f"ident {idtype}, item {itemtype}")
-
-    for row in items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(item, item_text).toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        size += len(row[1])
-        if size > BLOCK_CHARS:
-            out = run(ids, texts) if out is None else out.unionByName(run(ids, texts))
-            ids, texts, size = [], [], 0
-    if ids or out is None:
-        out = run(ids, texts) if out is None else out.unionByName(run(ids, texts))
-    return out.distinct().select(F.col("ident").alias(ident), F.col("item").alias(item))
+    tests = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).alias("item"), F.col(item_text).alias("item_text")).distinct()
+    idtype, itemtype = docs.schema["ident"].dataType.simpleString(), tests.schema["item"].dataType.simpleString()
+
+    def prints(name: str, column: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                words, counts = word_hashes(b[column].tolist(), accents=False)
+                kept, at = winnowed(words, counts, k, window)
+                ends = np.cumsum(counts)
+                of = np.searchsorted(ends, at, "right")
+                cuts = np.searchsorted(of, np.arange(len(b) + 1))
+                at = (at - (ends - counts)[of]).astype(np.int32)
+                kept = kept.view(np.int64)
+                yield pd.DataFrame({name: b[name].values, "hash": [kept[x:y] for x, y in zip(cuts, cuts[1:])], "at": [at[x:y] for x, y in zip(cuts, cuts[1:])]})
+
+        return run
+
+    def spread(prints: DataFrame, name: str, at: str) -> DataFrame:
+        return prints.select(name, F.explode(F.arrays_zip("hash", "at")).alias("x")).select(name, F.col("x.hash").alias("hash"), F.col("x.at").alias(at))
+
+    small = lambda x: F.broadcast(x) if size_of(x) <= BROADCAST_BYTES else x
+    known = staged(spread(tests.mapInPandas(prints("item", "item_text"), f"item {itemtype}, hash array<long>, at array<int>"), "item", "iat").distinct(), "item-prints")
+    hits = spread(docs.mapInPandas(prints("ident", "text"), f"ident {idtype}, hash array<long>, at array<int>"), "ident", "dat").join(small(known), "hash")
+    hits = staged(hits.groupBy("ident", "item").agg(F.collect_set(F.struct("dat", "iat")).alias("hits")), "hits")
+    asked = staged(hits.select("ident").distinct(), "documents-hit")
+    texts = docs.join(small(asked), "ident", "left_semi").distinct()
+    both = hits.join(texts, "ident").join(tests, "item")
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            dwords, dcounts = word_hashes(b["text"].tolist(), accents=False)
+            iwords, icounts = word_hashes(b["item_text"].tolist(), accents=False)
+            n = np.array([len(x) for x in b["hits"]], np.int64)
+            row = np.repeat(np.arange(len(b)), n)
+            d0, d1 = (np.cumsum(dcounts) - dcounts)[row], np.cumsum(dcounts)[row]
+            i0, i1 = (np.cumsum(icounts) - icounts)[row], np.cumsum(icounts)[row]
+            d = d0 + np.array([h["dat"] for x in b["hits"] for h in x], np.int64)
+            i = i0 + np.array([h["iat"] for x in b["hits"] for h in x], np.int64)
+            span = np.zeros(len(d), np.int64)
+            for step, j in ((1, 0), (-1, 1)):
+                alive = np.arange(len(d))
+                while len(alive) and j <= least:
+                    x, y = d[alive] + step * j, i[alive] + step * j
+                    ok = (x >= d0[alive]) & (x < d1[alive]) & (y >= i0[alive]) & (y < i1[alive])
+                    alive, x, y = alive[ok], x[ok], y[ok]
+                    alive = alive[dwords[x] == iwords[y]]
+                    span[alive] += 1
+                    j += 1
+            good = np.unique(row[span >= least])
+            yield pd.DataFrame({"ident": b["ident"].values[good], "item": b["item"].values[good]})
+
+    found = both.mapInPandas(extend, f"ident {idtype}, item {itemtype}")
+    return found.distinct().select(F.col("ident").alias(ident), F.col("item").alias(item))
