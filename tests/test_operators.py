@@ -7,6 +7,7 @@ from webloom.operators import crawldb as C
 from webloom.operators import documents as D
 from webloom.operators import filters as X
 from webloom.operators import links as L
+from webloom.operators import stores as S
 
 SCHEMA = "rec_id long, url string, status_code int, status_name string, fetch_time timestamp_ntz, retries_since_fetch int, retry_interval_seconds double, score double, signature string"
 
@@ -69,5 +70,51 @@ def test_per_host_cap(spark):
     assert sorted(tuple(r) for r in got) == [("h0.com", 1, 3), ("h0.com", 2, 3), ("h1.com", 1, 3), ("h1.com", 2, 3)]
 
 
-def test_expression():
-    assert C.translated("score > 1 && status =~ 'a.*' || !(retries == 2)") == "score > 1  AND  rlike(status, '^(?:a.*)$')  OR   NOT (retries = 2)"
+def test_expression(spark):
+    assert " ".join(C.translated("score > 1 && status =~ 'a.*' || !(retries == 2)").split()) == "nanvl(score, NULL) > 1 AND rlike(status, '^(?:a.*)$') OR NOT (retries = 2)"
+    df = spark.createDataFrame([("a!b==c", float("nan")), ("a&&b", 2.0), ("it's", None)], "url string, score double")
+    got = lambda e: [r["url"] for r in df.where(F.expr(C.translated(e))).collect()]
+    assert got("url =~ 'a!b==c'") == ["a!b==c"] and got('url == "a&&b"') == ["a&&b"] and got("score > 0") == ["a&&b"] and got('url == "it\'s" || score >= 5') == ["it's"]
+
+
+def test_newest_and_duplicates(spark):
+    rows = [("u", 1, None, "x"), ("u", 2, 5, "y"), ("u", 2, 4, "z"), (None, 1, 1, "n"), (None, 3, 1, "m")]
+    df = spark.createDataFrame(rows, "k string, a int, b int, v string")
+    assert {r["k"]: r["v"] for r in C.newest(df, "k", "a", "b").collect()} == {"u": "y", None: "m"}
+    recs = [(1, "http://a.b/long", 2, "", None, 0, 1.0, 1.0, "s"), (2, "http://a.b/x", 2, "", None, 0, 1.0, float("nan"), "s"), (3, "http://c.d/", 2, "", None, 0, 1.0, 1.0, None), (4, "http://c.d/2", 1, "", None, 0, 1.0, 1.0, "s")]
+    got = {r["rec_id"]: r["duplicate"] for r in C.deduplicate(spark.createDataFrame(recs, SCHEMA)).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False}
+
+
+def test_generate_keeps_urls_without_host(spark):
+    rows = [(1, "file:/path/index.html", 1, "", None, 0, 1.0, 1.0, None), (2, "xyz://foobar/path", 1, "", None, 0, 1.0, 1.0, None), (3, None, 1, "", None, 0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("fetch_time", F.to_timestamp_ntz(F.lit("2020-01-01 00:00:00")))
+    assert [r["url"] for r in C.generate(df, F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")), 10, 10).collect()] == ["file:/path/index.html"]
+
+
+def test_stores(spark, tmp_path):
+    df = spark.createDataFrame([('http://a.b/"x"', 2, None, "raw", 1, 86400.0, float("nan"), None, "k:v|||"), (None,) * 9], "url string, status_code int, fetch_time timestamp_ntz, modified_time string, retries_since_fetch int, retry_interval_seconds double, score double, signature string, metadata string")
+    lines = [r[0] for r in S.csv_lines(df).collect()]
+    assert lines[0] == '"http://a.b/""x""",2,"db_fetched",,raw,1,86400.0,1.0,NaN,"null","k:v|||"' and lines[1].startswith('"",,"unknown"')
+    assert len(S.RECORD_HEADER.split(",")) == len(next(__import__("csv").reader([lines[0]]))) == 11
+    assert '"score"' not in S.json_lines(df).collect()[0][0]
+    folder = str(tmp_path / "db")
+    assert S.current(spark, folder) is None and S.install(df.select("url"), folder) == 1 and S.install(df.select("url").limit(1), folder) == 2
+    assert S.current(spark, folder).count() == 1 and S.current(spark, folder, 1).count() == 2 and S.lookup(df, "url", []).count() == 0
+    hosts = spark.createDataFrame([("a.b", 1, "http://a.b/"), ("c.d", 0, None)], "host string, fetched long, homepage string")
+    assert [r[0] for r in S.host_lines(hosts, "homepages").collect()] == ["http://a.b/"] and len(S.host_lines(hosts).first()[0].split("\t")) == len(S.HOST_HEADER.split("\t")) == 15
+
+
+@pytest.mark.parametrize(("base", "target", "want"), [
+    ("http://a.b/c/d?q", "e", "http://a.b/c/e"), ("http://a.b/c/d?q", "?r=1", "http://a.b/c/d?r=1"), ("http://a.b/c/d", "../x/./y", "http://a.b/x/y"), ("http://a.b", "x", "http://a.b/x"), ("http://a.b/c", "//d.e/f", "http://d.e/f"),
+    ("http://a.b/c", "/x/../../y", "http://a.b/y"), ("http://a.b/c/", "", "http://a.b/c/"), ("http://a.b/c", "mailto:x", "mailto:x"), (None, "x", None), ("http://a.b/c", None, None),
+])
+def test_resolved(spark, base, target, want):
+    df = spark.createDataFrame([(base, target)], "b string, t string")
+    assert df.select(U.resolved(F.col("b"), F.col("t"))).first()[0] == want
+
+
+def test_documents(spark):
+    df = spark.createDataFrame([("Text/HTML; charset=x", "abc", "5"), (None, "é", "2"), ("image/png", None, "x")], "t string, c string, n string")
+    got = df.select(D.accepted_types(F.col("t"), ["text/"]).alias("a"), D.accepted_types(F.col("t"), ["text/"], False).alias("b"), D.truncated(F.col("c"), F.col("n")).alias("c"), U.duration(F.lit(90_061)).alias("d")).collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == [(True, False, True), (False, True, False), (False, True, False)] and got[0]["d"] == "1 days, 25:01:01".replace("25", "01")

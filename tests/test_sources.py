@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from webloom.sources.html import parse, parsed
 from webloom.sources.readers import archive, feed, robots_allowed, seeds, sitemap
-from webloom.streaming.rounds import fetch_counts, upsert_to
+from webloom.streaming.rounds import fetch_counts, state_of, upsert_to
 
 HTML = """<html><head><title> A  page </title><base href="/b/"><meta name="Keywords" content="x,y"></head><body><script>var s='</p>';</script><h1>Head</h1><p>One &amp; two</p>
 <a href="c?d=1">go <b>on</b></a><a rel="nofollow" href="n">no</a><form method="post" action="p"></form><a href="i"><img src="z.png" alt="pic"></a></body></html>"""
@@ -43,8 +43,7 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("u", k, k), (f"v{k}", 1, 0)], "url string, status_code int, t int").withColumn("time", F.timestamp_seconds(F.col("t") * 7200)).write.parquet(f"{tmp_path}/in/{k}")
     read = lambda: spark.readStream.schema("url string, status_code int, t int, time timestamp").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     read().writeStream.foreachBatch(upsert_to(f"{tmp_path}/state", "url", "t")).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
-    import glob
-    last = max(glob.glob(f"{tmp_path}/state/v*"), key=lambda p: int(p.rsplit("v", 1)[1]))
-    assert {r["url"]: r["t"] for r in spark.read.parquet(last).collect()} == {"u": 1, "v0": 0, "v1": 0}
+    state = state_of(spark, f"{tmp_path}/state", read().schema)
+    assert {r["url"]: r["t"] for r in state.collect()} == {"u": 1, "v0": 0, "v1": 0}
     fetch_counts(read(), "time").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start().awaitTermination()
     assert spark.table("counts").agg(F.sum("records")).first()[0] == 4

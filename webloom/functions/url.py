@@ -85,3 +85,44 @@ def unreverse_url(key: Column) -> Column:
     pat = r"^([^:/?#]+):([a-zA-Z][a-zA-Z0-9+.-]*)(:\d+)?(.*)$"
     part = lambda i: F.regexp_extract(key, pat, i)
     return F.when(key.rlike(pat), F.concat(part(2), F.lit("://"), reverse_host(part(1)), part(3), part(4)))
+
+
+def same_domain(a: Column, b: Column) -> Column:
+    """Whether two URLs have the same registered domain; null if one has no host."""
+    return F.lower(domain_of(host_of(a))) == F.lower(domain_of(host_of(b)))
+
+
+def home_page_of(url: Column, host: Column) -> Column:
+    """Whether a URL is the root page of a host, whatever its scheme."""
+    return F.coalesce((host_of(url) == F.lower(host)) & F.coalesce(path_of(url), F.lit("/")).isin("", "/") & query_of(url).isNull(), F.lit(False))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's absolute URL: absolute targets stay, ``//host``, ``/path``, ``?query`` (kept to the page's path) and relative ones are joined to the base, dot segments taken out; null without either."""
+    t = F.trim(target)
+    scheme, root = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(F.regexp_extract(page, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(.*)$", 1) == "", F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
+    whole = (
+        F.when(t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), t).when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(root, t))
+        .when(t.startswith("?"), F.concat(page, t)).when(t.startswith("#"), F.concat(page, t)).when(t == "", base).otherwise(F.concat(folder, t))
+    )
+    head, path, rest = (F.regexp_extract(whole, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(F.split(path, "/"), start, lambda out, x: F.when(x == ".", out).when(x == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).otherwise(F.array_append(out, x)))
+    tail = F.when(path.rlike(r"(^|/)\.\.?$") & ~F.array_join(kept, "/").endswith("/"), "/").otherwise("")
+    return F.when(path.contains("/.") & (head != ""), F.concat(head, F.array_join(kept, "/"), tail, rest)).otherwise(whole)
+
+
+def partition_key(url: Column, mode: str = "host") -> Column:
+    """What fetch lists are partitioned by: host, registered domain, or the whole URL where there is no host."""
+    host = host_of(url)
+    return F.coalesce(domain_of(host) if mode == "domain" else host, url)
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds as ``d days, hh:mm:ss``, without the days where there are none; null for null or negative ones."""
+    s = seconds.cast("long")
+    clock = F.format_string("%02d:%02d:%02d", F.floor(s % 86_400 / 3600), F.floor(s % 3600 / 60), s % 60)
+    days = F.floor(s / 86_400)
+    return F.when(s >= 0, F.when(days > 0, F.concat(days.cast("string"), F.lit(" days, "), clock)).otherwise(clock))

@@ -7,6 +7,7 @@ accept empty tables and repeated rows; each docstring says what repeated rows me
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,13 @@ def status_name(code: Column) -> Column:
 
 
 def newest(df: DataFrame, key: str, *by: str) -> DataFrame:
-    """One row per key: that with the largest values of ``by``, in order; null keys form one group."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*by)).alias("__r")).select(key, "__r.*")
+    """One row per key: that with the largest values of ``by``, in order (nulls least; equal rows: any one); null keys form one group.
+
+    A rank in a window, of which Spark keeps the first row before the shuffle (group limit), so that a hot key is cut down early and
+    columns nobody asks for are pruned down to the scan.
+    """
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in by])))
+    return ranked.where("__rank = 1").drop("__rank")
 
 
 def stats(df: DataFrame) -> DataFrame:
@@ -77,14 +83,30 @@ def matching(df: DataFrame, status: str | None = None, least_retries: int | None
     return df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
-def translated(expression: str) -> str:
-    """A record expression with &&, ||, ! and == and =~ as SQL."""
-    import re
+_TOKEN = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(=~|&&|\|\||==|!=|!|\b(?:score|null)\b)|([^'"=&|!\w]+|\w+|.)""", re.S)
+_SQL = {"&&": " AND ", "||": " OR ", "==": "=", "!=": "<>", "!": " NOT ", "score": "nanvl(score, NULL)", "null": "NULL"}
 
-    s = expression.replace("&&", " AND ").replace("||", " OR ").replace("==", "=")
-    s = re.sub(r"!(?!=)", " NOT ", s)
-    s = re.sub(r"(\w+)\s*=~\s*('[^']*'|\"[^\"]*\")", lambda m: f"rlike({m[1]}, '^(?:{m[2][1:-1]})$')", s)
-    return s.replace('"', "'")
+
+def translated(expression: str) -> str:
+    """A record expression with &&, ||, !, == and =~ (whole match) as SQL; quoted text stays as it is, and a NaN score passes no test."""
+    out: list[str] = []
+    match = False
+    for quoted, sign, rest in _TOKEN.findall(expression):
+        if quoted:
+            text = "'" + quoted[1:-1].replace("\\" + quoted[0], quoted[0]).replace("'", "\\'") + "'"
+            if match:
+                left = out.pop()
+                text, match = f"rlike({left}, '^(?:{text[1:-1]})$')", False
+            out.append(text)
+        elif sign == "=~":
+            match = True
+            while out and not out[-1].strip():
+                out.pop()
+        elif sign:
+            out.append(_SQL[sign])
+        elif not (match and not rest.strip()):
+            out.append(rest)
+    return "".join(out)
 
 
 def top(df: DataFrame, n: int, least: float = 0.0) -> DataFrame:
@@ -101,11 +123,12 @@ def reject_reason(now: Column, least_score: float = 0.0, most_interval: float |
 def generate(df: DataFrame, now: Column, n: int, per_host: int, segments: int = 1, least_score: float = 0.0, most_interval: float | None = None) -> DataFrame:
     """Fetch lists: due records, best score first, at most ``per_host`` of a host in a segment and ``n`` in all in a segment.
 
-    A host fills segment 1 first, then 2 and so on; what is over is left.  Equal scores rank by URL.  Records without a host are left out.
+    A host fills segment 1 first, then 2 and so on; what is over is left.  Equal scores rank by URL.  Records whose URL has no host name
+    (``file:/path``) count as one host, with host null; a null URL or one without a scheme is left out.
     The per-host rank is a window over hosts, in which Spark keeps only the rows that can still count (group limit), so a
     host of a third of all records is cut down before its rows are shuffled.
     """
-    due = df.where(reject_reason(now, least_score, most_interval).isNull()).withColumn("host", host_of(F.col("url"))).where("host is not null")
+    due = df.where(reject_reason(now, least_score, most_interval).isNull()).where(F.col("url").rlike("^(https?|ftp|file):")).withColumn("host", host_of(F.col("url")))
     by = [F.desc("score"), F.asc("url")]
     ranked = due.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy(*by))).where(F.col("rn") <= per_host * segments)
     ranked = ranked.withColumn("segment", F.ceil(F.col("rn") / per_host).cast("int")).drop("rn")
@@ -122,14 +145,17 @@ def deduplicate(df: DataFrame, group: str = "none") -> DataFrame:
     score = F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(0.0))
     d = df.withColumn("__rank", F.struct(score.alias("s"), F.col("fetch_time").alias("t"), (-F.length("url")).alias("l"))).withColumn("__g", host_of(F.col("url")) if group == "host" else F.lit(""))
     best = d.where(part).groupBy("signature", "__g").agg(F.max("__rank").alias("__best"))
-    return d.join(best, ["signature", "__g"], "left").withColumn("duplicate", F.coalesce(part & (F.col("__rank") != F.col("__best")), F.lit(False))).drop("__rank", "__g", "__best")
+    part = F.coalesce(part, F.lit(False))
+    # records that take no part, such as all those without a signature, don't go through the join
+    seen = d.where(part).join(best, ["signature", "__g"]).withColumn("duplicate", F.col("__rank") != F.col("__best")).drop("__rank", "__g", "__best")
+    return seen.select(*df.columns, "duplicate").unionByName(df.where(~part).withColumn("duplicate", F.lit(False)))
 
 
 def inject(df: DataFrame, seeds: DataFrame, mode: str = "keep", score: float = 1.0, interval: int = 30 * DAY) -> DataFrame:
     """Records merged with seeds (url, score, interval; null for the default): columns url, status_code, score, interval.
 
     New URLs come in as unfetched.  Known ones stay ("keep"), are replaced ("overwrite"), or take those seed values that differ from the
-    defaults ("update").  df and seeds have one row per URL.
+    defaults ("update").  df and seeds have one row per URL; a NaN score comes out as null.
     """
     new = seeds.select("url", F.coalesce("score", F.lit(score)).alias("s"), F.coalesce("interval", F.lit(interval)).cast("double").alias("i"), F.lit(True).alias("seeded"))
     j = df.select("url", "status_code", "score", F.col("retry_interval_seconds").alias("interval"), F.lit(True).alias("known")).join(new, "url", "full")
@@ -137,7 +163,7 @@ def inject(df: DataFrame, seeds: DataFrame, mode: str = "keep", score: float = 1
     update = F.lit(mode == "update") & F.col("seeded").isNotNull()
     return j.select(
         "url", F.when(fresh, 1).otherwise(F.col("status_code")).alias("status_code"),
-        F.when(fresh | (update & (F.col("s") != score)), F.col("s")).otherwise(F.col("score")).alias("score"),
+        F.when(fresh | (update & (F.col("s") != score)), F.col("s")).otherwise(F.nanvl("score", F.lit(None).cast("double"))).alias("score"),
         F.when(fresh | (update & (F.col("i") != interval)), F.col("i")).otherwise(F.col("interval")).alias("interval"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.url import host_of
+from webloom.operators.crawldb import newest
 
 MOST_LABELS = 1000
 
@@ -28,7 +29,10 @@ def profile_signature(text: Column, rate: float = 0.01, shortest: int = 2) -> Co
     got = F.array_sort(words)
 
     def counted(ws: Column) -> Column:
-        return F.aggregate(ws, F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,w:string>>").alias("out")), lambda a, w: F.when(a["w"] == w, F.struct(w.alias("w"), (a["n"] + 1).alias("n"), a["out"].alias("out"))).otherwise(F.struct(w.alias("w"), F.lit(1).alias("n"), F.when(a["n"] > 0, F.array_append(a["out"], F.struct(a["n"].alias("n"), a["w"].alias("w")))).otherwise(a["out"]).alias("out"))), lambda a: F.when(a["n"] > 0, F.array_append(a["out"], F.struct(a["n"].alias("n"), a["w"].alias("w")))).otherwise(a["out"]))
+        # where each word begins among the sorted ones; its number is the distance to the next
+        begin = F.filter(F.transform(ws, lambda w, i: F.when((i == 0) | (F.get(ws, i - 1) != w), i)), lambda i: i.isNotNull())
+        runs = lambda at: F.transform(at, lambda i, k: F.struct((F.coalesce(F.get(at, k + 1), F.size(ws)) - i).alias("n"), F.get(ws, i).alias("w")))
+        return F.get(F.transform(F.array(begin), runs), F.lit(0))
 
     def profile(c: Column) -> Column:
         most = F.coalesce(F.array_max(F.transform(c, lambda x: x["n"])), F.lit(0))
@@ -41,7 +45,7 @@ def profile_signature(text: Column, rate: float = 0.01, shortest: int = 2) -> Co
 
 def newest_segment(df: DataFrame, key: str = "url", segment: str = "segment", tie: str = "page_id") -> DataFrame:
     """Segments merged: of each key the row of the last segment (by name), of several there the one with the largest ``tie``."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(segment, tie)).alias("__r")).select(key, "__r.*")
+    return newest(df, key, segment, tie)
 
 
 def slices(df: DataFrame, size: int, order: str) -> DataFrame:
@@ -113,3 +117,15 @@ def cosine(df: DataFrame, gold: str, ident: str, text: str) -> DataFrame:
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), "word"), F.lit(0)) if own else F.lit(0)
     got = words(df, ident, text).groupBy(ident).agg(F.sum(F.col("n") * weight).alias("dot"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("dn"))
     return got.select(ident, (F.col("dot") / (F.col("dn") * norm)).alias("similarity"))
+
+
+def accepted_types(content_type: Column, prefixes: list[str], accept: bool = True) -> Column:
+    """Whether a document's type (without parameters) begins with one of the prefixes; with ``accept`` off, whether it begins with none.  A null type passes only then."""
+    t = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    hit = F.coalesce(F.array_contains(F.transform(F.array(*[F.lit(p.lower()) for p in prefixes]), lambda p: F.startswith(t, p)), True), F.lit(False)) if prefixes else F.lit(False)
+    return hit if accept else ~hit
+
+
+def truncated(content: Column, declared: Column) -> Column:
+    """Whether fewer bytes are there than the header declares; a missing or senseless header tells nothing (false)."""
+    return F.coalesce(F.octet_length(content) < declared.try_cast("long"), F.lit(False))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions.url import domain_of, host_of, path_of, protocol_of, query_of, suffix_of
+from webloom.plans.workspace import size_of, staged
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def chain(*tests: Column) -> Column:
@@ -48,8 +49,9 @@ def valid(url: Column) -> Column:
 
 
 def _small(rules: DataFrame) -> DataFrame:
-    """The rules, to be broadcast if there are few enough of them."""
-    return F.broadcast(rules) if rules.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rules
+    """The rules, stored, and to be broadcast if their files are small enough."""
+    rules = staged(rules, "rules")
+    return F.broadcast(rules) if size_of(rules) <= BROADCAST_BYTES else rules
 
 
 def domain_list(df: DataFrame, names: DataFrame, allow: bool = True, url: str = "url") -> DataFrame:
@@ -71,19 +73,20 @@ def denied_paths(df: DataFrame, rules: DataFrame, url: str = "url", longest: int
     d = df.where(F.length(url) <= longest) if longest else df
     u = d.select(F.col(url).alias("__u")).distinct()
     labels = F.split(host_of(F.col("__u")), r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.lit(100)), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keyed = u.withColumn("name", F.explode(F.concat(parents, F.array(F.lit(".")))))
     text = F.when(F.col("kind") == "path", path_of(F.col("__u"))).otherwise(F.concat(path_of(F.col("__u")), F.coalesce(F.concat(F.lit("?"), query_of(F.col("__u"))), F.lit(""))))
     bad = keyed.join(_small(rules), "name").where(F.regexp_like(text, F.col("pattern"))).select("__u").distinct()
     return d.join(bad, d[url] == bad["__u"], "left_anti")
 
 
-def outlinks_in_scope(df: DataFrame, most: int | None = 100, longest: int = 4096, external: bool = True, internal: bool = True, exempt: list[str] | None = None) -> DataFrame:
+def outlinks_in_scope(df: DataFrame, most: int | None = None, longest: int | None = None, external: bool = True, internal: bool = True, exempt: list[str] | None = None) -> DataFrame:
     """Links (from_url, url) without self-links, too long ones and those out of scope; links to URLs in which an ``exempt`` pattern is found stay; the first ``most`` of a page by URL (None: all)."""
     from pyspark.sql import Window
 
     same = host_of(F.col("from_url")).eqNullSafe(host_of(F.col("url")))
-    d = df.where((F.col("url") != F.col("from_url")) & (F.length("url") <= longest))
+    d = df.where(F.col("url") != F.col("from_url"))
+    d = d.where(F.length("url") <= longest) if longest else d
     if not external:
         free = reduce(lambda a, b: a | b, [F.col("url").rlike(p) for p in exempt or []], F.lit(False))
         d = d.where(same | free)

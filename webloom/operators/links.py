@@ -20,8 +20,8 @@ def inverted(df: DataFrame, ignore_internal: bool = True, ignore_external: bool
     return d.distinct()
 
 
-def merged(a: DataFrame, b: DataFrame, most: int = 10_000) -> DataFrame:
-    """Union of two link sets; of a target's links at most ``most``, in order of source and anchor (the reference's cap; None keeps all)."""
+def merged(a: DataFrame, b: DataFrame, most: int | None = None) -> DataFrame:
+    """Union of two link sets; with ``most``, of a target's links no more than that, in order of source and anchor."""
     both = a.unionByName(b).distinct()
     if most is None:
         return both

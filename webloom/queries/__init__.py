@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from webloom.queries import content, crawldb, links, parsing, problems, stores
 
-MODULES = ("problems", "crawldb", "links", "content", "parsing")
-
-
-def _all(what: str) -> dict:
-    out = {}
-    for m in MODULES:
-        try:
-            out |= getattr(import_module(f"{__name__}.{m}"), what)
-        except ModuleNotFoundError as e:
-            if not (e.name or "").startswith(__name__):
-                raise
-    return out
+MODULES = (problems, crawldb, links, content, parsing, stores)
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return _all("SQL")
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

@@ -75,7 +75,7 @@ def filter_fast(spark, folder):
 
 
 def filter_outlinks(spark, folder):
-    return X.outlinks_in_scope(table(spark, folder, "inlinks"), most=2, external=False, exempt=[r"\.htm$"])
+    return X.outlinks_in_scope(table(spark, folder, "inlinks"), most=2, longest=4096, external=False, exempt=[r"\.htm$"])
 
 
 def normalize_basic(spark, folder):
@@ -141,7 +141,7 @@ def index_actions(spark, folder):
 
 
 def index_basic(spark, folder):
-    return D.basic_fields(_docs(spark, folder), 200).select("id", "host", "title", "content", "boost")
+    return D.basic_fields(_docs(spark, folder)).select("id", "host", "title", "content", "boost")
 
 
 def index_mime(spark, folder):
@@ -245,7 +245,7 @@ SQL = {
     "segment_slices": "select cast(floor(k / 100) as bigint) as slice, count(*) as rows, min(page_id) as first from (select page_id, row_number() over (order by page_id) - 1 as k from index_docs) group by 1",
     "segment_redirect_free": "select url, segment, page_id from (select *, rank() over (partition by url order by segment desc) as k from index_docs) where k = 1",
     "index_actions": f"{DB}, {_NEW}, m as (select page_id, min(parse_status) as p from parse_meta group by 1) select nd.url, case when coalesce(p, 'success') like 'failed%' then 'DELETE' when coalesce(db.status_code, 2) in (3, 4, 5, 7) then 'DELETE' when coalesce(db.status_code, 2) in (2, 6) then 'ADD' end as action from nd left join m using (page_id) left join db on db.url = nd.url",
-    "index_basic": f"select url as id, {H} as host, substr(coalesce(title, ''), 1, 100) as title, substr(content, 1, 200) as content, boost from index_docs",
+    "index_basic": f"select url as id, {H} as host, substr(coalesce(title, ''), 1, 100) as title, content, boost from index_docs",
     "index_mime": "select meta_id, lower(trim(string_split(content_type, ';')[1])) as type, string_split(lower(trim(string_split(content_type, ';')[1])), '/')[1] as major, string_split(lower(trim(string_split(content_type, ';')[1])), '/')[-1] as minor from parse_meta",
     "index_clean": f"{DB} select url from db where status_code in (3, 7)",
     "index_language": "select doc_id, lower(coalesce(lang, 'unknown')) as lang from documents where lower(coalesce(lang, 'unknown')) in ('en', 'unknown')",
@@ -260,4 +260,8 @@ SQL = {
     "commoncrawl_records": "with n as (select url, count(distinct from_url) as links from inlinks group by 1) select rec_id, to_json({'url': c.url, 'response': {'status': coalesce(response_status, 0), 'hostname': coalesce(response_hostname, '')}, 'key': record_key, 'inLinks': coalesce(links, 0)})::varchar as json from cc_records c left join n on n.url = c.url",
     "similarity_gold": f"with {_WORDS.format(i='doc_id', t='text', src='documents')}, g as (select word, count(*) as g from (select unnest(string_split('{GOLD}', ' ')) as word) group by 1) select doc_id, round(sum(n * coalesce(g, 0)) / (sqrt(sum(n * n)) * (select sqrt(sum(g * g)) from g)), 6) as similarity from w left join g using (word) group by doc_id",
     "normalize_basic": f"{DB} select url, url as normal from db",
+    "signature_profile": """with w as (select doc_id, word, count(*) as n from (select doc_id, unnest(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' ')) as word from documents) where length(word) > 2 group by 1, 2),
+s as (select doc_id, greatest(cast(round(max(n) * 0.01) as bigint), case when max(n) > 1 then 2 else 1 end) as step from w group by 1), q as (select doc_id, word, n // step * step as n, step from w join s using (doc_id))
+select d.doc_id, case when d.text is not null then md5(coalesce(string_agg(q.word || ' ' || q.n, chr(10) order by q.n desc, q.word), '')) end as signature from documents d left join q on q.doc_id = d.doc_id and q.n >= q.step group by d.doc_id, d.text""",
+    "url_reversed": f"{_U}, p as (select url, h, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) as s, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*?(:[0-9]+)(?:[/?#]|$)', 1) as port, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(.*)$', 1) as rest from u) select url, array_to_string(list_reverse(string_split(h, '.')), '.') || ':' || s || port || rest as key, (s || '://' || h || port || rest) = lower(url) as back from p",
 }

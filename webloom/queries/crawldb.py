@@ -82,12 +82,18 @@ def generate_marked(spark, folder):
     return d.join(made, "url", "left").select("url", F.coalesce("generated", F.lit(False)).alias("generated"))
 
 
+def _signed(spark, folder):
+    """Fetched pages as records, signed by their content: copies under other URLs have the same signature."""
+    d = C.newest(table(spark, folder, "index_docs"), "url", "segment", "page_id")
+    return d.select("url", F.lit(2).alias("status_code"), F.col("boost").alias("score"), F.col("tstamp").alias("fetch_time"), F.md5("content").alias("signature"))
+
+
 def dedup_signature(spark, folder):
-    return C.deduplicate(db(spark, folder)).where("duplicate").select("url", "signature")
+    return C.deduplicate(_signed(spark, folder)).where("duplicate").select("url", "signature")
 
 
 def dedup_signature_host(spark, folder):
-    return C.deduplicate(db(spark, folder), "host").where("duplicate").select("url", "signature")
+    return C.deduplicate(_signed(spark, folder), "host").where("duplicate").select("url", "signature")
 
 
 def _seeds(spark, folder):
@@ -211,11 +217,12 @@ f as (select *, row_number() over (partition by segment order by score desc, url
 _HOSTDB = f"""{DB}, hd as (select {_HOST} as host, count(*) filter (status_code = 1) as unfetched, count(*) filter (status_code = 2) as fetched, count(*) filter (status_code = 6) as not_modified,
 count(*) filter (status_code = 4) as redir_temp, count(*) filter (status_code = 5) as redir_perm, count(*) filter (status_code = 3) as gone, count(*) filter (retries_since_fetch <> 0) as connection_failures from db where {_HOST} <> '' group by 1),
 h as (select *, unfetched + fetched + not_modified + redir_temp + redir_perm + gone as num_records from hd)"""
-_DEDUP = f"""{DB}, d as (select *, coalesce(case when not isnan(score) then score end, 0.0) as s, %s as g from db where status_code in (2, 6) and signature is not null and signature <> 'null'),
+_DEDUP = f"""with n as (select * from (select *, row_number() over (partition by url order by segment desc, page_id desc) as k from index_docs) where k = 1),
+d as (select url, tstamp as fetch_time, md5(content) as signature, coalesce(case when not isnan(boost) then boost end, 0.0) as s, %s as g from n where content is not null),
 r as (select *, rank() over (partition by signature, g order by s desc, fetch_time desc, length(url)) as k from d) select url, signature from r where k > 1"""
 _SEEDS = "seeds as (select url, case when min(rec_id) % 3 = 0 then 2.5 else 1.0 end as s, case when min(rec_id) % 4 = 0 then 171717.0 else 2592000.0 end as i from cc_records group by url)"
 _INJ = f"""{DB}, {_SEEDS} select coalesce(d.url, seeds.url) as url,
-case when {{fresh}} then 1 else d.status_code end as status_code, case when {{fresh}} or ({{upd}} and s <> 1.0) then s else d.score end as score,
+case when {{fresh}} then 1 else d.status_code end as status_code, case when {{fresh}} or ({{upd}} and s <> 1.0) then s when isnan(d.score) then null else d.score end as score,
 case when {{fresh}} or ({{upd}} and i <> 2592000.0) then i else d.retry_interval_seconds end as interval from db d full join seeds on d.url = seeds.url"""
 _TWO = "regexp_matches({h}, '\\.(co|org|ac|com|net)\\.(uk|au|nz|jp)$')"
 SQL = {
@@ -226,7 +233,7 @@ cast(floor(sum(m) / count(m)) as bigint) as minute_avg, min(retry_interval_secon
 from (select *, case when not isnan(score) then score end as s, cast(floor(epoch(fetch_time) / 60) as bigint) as m from crawl_dump)""",
     "crawldb_score_quantiles": "select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::double[]) as quantile, unnest(list_transform(quantile_cont(score, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]), lambda x: round(x, 6))) as score from crawl_dump where not isnan(score)",
     "crawldb_newest": f"{DB} select url, rec_id, status_code, fetch_time from db",
-    "crawldb_dump_filtered": "select rec_id, url, score from crawl_dump where lower(status_name) = 'db_fetched' and retries_since_fetch >= 1 and regexp_full_match(url, 'https?://www\\..*') and score > 0.3 and retries_since_fetch <> 2",
+    "crawldb_dump_filtered": "select rec_id, url, score from crawl_dump where lower(status_name) = 'db_fetched' and retries_since_fetch >= 1 and regexp_full_match(url, 'https?://www\\..*') and not isnan(score) and score > 0.3 and retries_since_fetch <> 2",
     "crawldb_dump_json": "select rec_id, to_json({'url': url, 'statusCode': status_code, 'statusName': status_name, 'retriesSinceFetch': retries_since_fetch})::varchar as json from crawl_dump",
     "crawldb_dump_csv": "select rec_id, concat_ws(',', '\"' || url || '\"', status_code, '\"' || status_name || '\"', retries_since_fetch) as line from crawl_dump",
     "crawldb_top": f"{DB} select url, score from db where {_OK} and score >= 0.1 order by score desc, url limit 50",

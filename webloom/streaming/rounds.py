@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.operators.crawldb import newest
+
 
 def latest_state(df: DataFrame, key: str, *by: str) -> DataFrame:
     """Of each key the row with the largest ``by``; the same for a batch and for one micro-batch with the state before it."""
-    return df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*by)).alias("__r")).select(key, "__r.*")
+    return newest(df, key, *by)
+
+
+def state_of(spark: SparkSession, folder: str, schema) -> DataFrame | None:
+    """The latest complete state under ``folder``, or None.  Versions are values of the partition column ``version``; the marks of complete ones lie beside them."""
+    try:
+        last = spark.read.schema("version long").json(f"{folder}/complete").agg(F.max("version")).first()[0]
+    except AnalysisException:
+        return None
+    return None if last is None else spark.read.schema(schema).parquet(f"{folder}/state/version={last}")
 
 
 def upsert_to(folder: str, key: str, *by: str):
-    """A foreachBatch function that keeps the latest state under ``folder``, a new version for each batch and the old one until it is complete."""
+    """A foreachBatch function that keeps the latest state under ``folder``: each batch writes a version of its own, then marks it complete; a batch that is repeated writes its version again from the one before."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = sorted((int(p.getPath().getName()[1:]) for p in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS"))), reverse=True) if fs.exists(path) else []
-        if number in done:
-            return
-        old = [v for v in done if v < number]
-        state = latest_state(spark.read.parquet(f"{folder}/v{old[0]}").unionByName(batch) if old else batch, key, *by)
-        state.write.mode("overwrite").parquet(f"{folder}/v{number}")
-        for v in old[1:]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v{v}"), True)
+        try:
+            done = spark.read.schema("version long").json(f"{folder}/complete").where(F.col("version") < number).agg(F.max("version")).first()[0]
+        except AnalysisException:
+            done = None
+        old = None if done is None else spark.read.schema(batch.schema).parquet(f"{folder}/state/version={done}")
+        state = latest_state(old.unionByName(batch) if old is not None else batch, key, *by)
+        state.write.mode("overwrite").parquet(f"{folder}/state/version={number}")
+        spark.range(1).select(F.lit(number).cast("long").alias("version")).coalesce(1).write.mode("overwrite").json(f"{folder}/complete/batch={number}")
 
     return write
 
