@@ -20,4 +20,11 @@ def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_leaked_items": p9_leaked_items}
-SQL = {}
+_SHARED = r"""
+with d as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w from documents),
+i as (select item_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') as w from eval_items),
+dg as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from d where len(w) >= 12),
+ig as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) as g from i where len(w) >= 12),
+f as (select distinct doc_id, item_id from dg join ig using (g))
+"""
+SQL = {"p9_found": _SHARED + "select doc_id, item_id from f", "p9_leaked_items": _SHARED + "select item_id, count(*) as documents from f group by item_id"}
