@@ -8,6 +8,7 @@ from webloom.operators import documents as D
 from webloom.operators import filters as X
 from webloom.operators import links as L
 from webloom.operators import stores as S
+from webloom.operators.ranks import exact_quantiles, positions
 
 SCHEMA = "rec_id long, url string, status_code int, status_name string, fetch_time timestamp_ntz, retries_since_fetch int, retry_interval_seconds double, score double, signature string"
 
@@ -118,3 +119,18 @@ def test_documents(spark):
     df = spark.createDataFrame([("Text/HTML; charset=x", "abc", "5"), (None, "é", "2"), ("image/png", None, "x")], "t string, c string, n string")
     got = df.select(D.accepted_types(F.col("t"), ["text/"]).alias("a"), D.accepted_types(F.col("t"), ["text/"], False).alias("b"), D.truncated(F.col("c"), F.col("n")).alias("c"), U.duration(F.lit(90_061)).alias("d")).collect()
     assert [(r["a"], r["b"], r["c"]) for r in got] == [(True, False, True), (False, True, False), (False, True, False)] and got[0]["d"] == "1 days, 25:01:01".replace("25", "01")
+
+
+def test_positions_and_quantiles(spark):
+    rows = [(("big" if i % 3 else None) if i % 10 else "b", i, float("nan") if i == 5 else None if i == 6 else float(i * 7 % 101)) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, i int, v double").repartition(5)
+    want = {}
+    for g in {r[0] for r in rows}:
+        want |= {i: k for k, i in enumerate(sorted(r[1] for r in rows if r[0] == g))}
+    got = positions(df, "g", ["i"]).collect()
+    assert len(got) == 120 and {r["i"]: r["position"] for r in got} == want
+    import numpy as np
+    for r in exact_quantiles(df, "g", "v", [0.0, 0.3, 0.5, 1.0, 1.5]).collect():
+        own = [v for g, _, v in rows if g == r["g"] and v is not None and v == v]
+        assert abs(r["v"] - np.quantile(own, r["quantile"])) < 1e-9
+    assert positions(df.limit(0), "g", ["i"]).count() == exact_quantiles(df.limit(0), "g", "v", [0.5]).count() == 0

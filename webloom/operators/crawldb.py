@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.url import host_of
+from webloom.operators.ranks import exact_quantiles
 
 # Status codes and names of URL records.
 STATUS = {
@@ -60,11 +61,12 @@ def score_stats(df: DataFrame) -> DataFrame:
 
 
 def quantiles(df: DataFrame, points: list[float], exact: bool = False) -> DataFrame:
-    """Score quantiles: columns quantile, score.  By a mergeable sketch unless ``exact``; points outside 0 to 1 are skipped."""
+    """Score quantiles: columns quantile, score.  By a mergeable sketch unless ``exact``, which sorts over all partitions; points outside 0 to 1 are skipped."""
     points = [p for p in points if 0 <= p <= 1]
+    if exact:
+        return exact_quantiles(df.select(F.lit(0).alias("all"), "score"), "all", "score", points).drop("all")
     s = F.when(~F.isnan("score"), F.col("score"))
-    found = F.percentile(s, points) if exact else F.percentile_approx(s, points, 10_000)
-    return df.agg(found.alias("q")).select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in points]).alias("quantile"), F.col("q").alias("score"))).alias("x")).select("x.*")
+    return df.agg(F.percentile_approx(s, points, 10_000).alias("q")).select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in points]).alias("quantile"), F.col("q").alias("score"))).alias("x")).select("x.*")
 
 
 def matching(df: DataFrame, status: str | None = None, least_retries: int | None = None, url_pattern: str | None = None, expression: str | None = None, sample: float | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webloom.functions.url import host_of
+from webloom.operators.ranks import positions
 from webloom.plans.session import table
-from webloom.queries.crawldb import dump
+from webloom.queries.crawldb import db, dump
 from webloom.sources.html import parsed
 from webloom.streaming.rounds import latest_state
 
@@ -29,13 +31,8 @@ def rounds_latest(spark, folder):
 
 def politeness_schedule(spark, folder):
     """When each unfetched URL of a host is due if its host is asked once a second, in order of URL."""
-    from pyspark.sql import Window
-
-    from webloom.functions.url import host_of
-    from webloom.queries.crawldb import db
-
-    d = db(spark, folder).where("status_code = 1").withColumn("host", host_of(F.col("url")))
-    return d.select("url", "host", (F.row_number().over(Window.partitionBy("host").orderBy("url")) - 1).cast("int").alias("second"))
+    d = db(spark, folder).where("status_code = 1").select("url", host_of(F.col("url")).alias("host"))
+    return positions(d, "host", ["url"], "second").withColumn("second", F.col("second").cast("int"))
 
 
 QUERIES = {f.__name__: f for f in (parse_html, outlinks_in_text, rounds_latest, politeness_schedule)}
