@@ -134,3 +134,13 @@ def test_positions_and_quantiles(spark):
         own = [v for g, _, v in rows if g == r["g"] and v is not None and v == v]
         assert abs(r["v"] - np.quantile(own, r["quantile"])) < 1e-9
     assert positions(df.limit(0), "g", ["i"]).count() == exact_quantiles(df.limit(0), "g", "v", [0.5]).count() == 0
+
+
+@pytest.mark.parametrize(("a", "b", "order", "loser"), [
+    ("http://a.b/", "http://a.b/", ("url_length",), None), ("http://a.b/", "https://a.b/", ("https", "url_length"), 0), ("http://a.b/", "https://a.b/", ("url_length",), 1),
+    ("http://a.b/b%C3%BCcher", "http://a.b/buecher", ("url_length",), 1), ("http://a.b/%YR", "http://a.b/%YR%YR", ("url_length",), 1),
+])
+def test_duplicate_order(spark, a, b, order, loser):
+    rows = [(i, u, 2, "", None, 0, 1.0, 1.0, "s") for i, u in enumerate((a, b))]
+    got = [r["rec_id"] for r in C.deduplicate(spark.createDataFrame(rows, SCHEMA), order=order).where("duplicate").collect()]
+    assert got == ([] if loser is None else [loser])

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.functions.url import host_of
+from webloom.functions.url import domain_of, host_of
 from webloom.operators.ranks import exact_quantiles
 
 # Status codes and names of URL records.
@@ -137,15 +137,21 @@ def generate(df: DataFrame, now: Column, n: int, per_host: int, segments: int =
     return ranked.withColumn("place", F.row_number().over(Window.partitionBy("segment").orderBy(*by))).where(F.col("place") <= n)
 
 
-def deduplicate(df: DataFrame, group: str = "none") -> DataFrame:
-    """Records with the same signature (and host, if group is "host"), all but the best marked duplicate: column ``duplicate``.
+def deduplicate(df: DataFrame, group: str = "none", order: tuple[str, ...] = ("score", "fetch_time", "url_length")) -> DataFrame:
+    """Records with the same signature (and host or registered domain, if group is "host" or "domain"), all but the best marked duplicate: column ``duplicate``.
 
-    Only fetched and unmodified records with a signature take part.  Best is: higher score, newer fetch, shorter URL; records equal in
-    all three are all kept.  Best values are found by aggregation, so a signature that a third of all records have is no hot window.
+    Only fetched and unmodified records with a signature take part.  Best is, by the criteria of ``order``, one after the other: the higher
+    "score", the newer "fetch_time", the shorter "url_length" (percent escapes decoded where they can be), "https" before other
+    schemes; records equal in all of them are all kept.  Best values are found by aggregation, so a signature that a third of all records
+    have is no hot window.
     """
     part = F.col("status_code").isin(2, 6) & F.col("signature").isNotNull() & (F.col("signature") != "null")
-    score = F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(0.0))
-    d = df.withColumn("__rank", F.struct(score.alias("s"), F.col("fetch_time").alias("t"), (-F.length("url")).alias("l"))).withColumn("__g", host_of(F.col("url")) if group == "host" else F.lit(""))
+    criteria = {
+        "score": F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(0.0)), "fetch_time": F.col("fetch_time"),
+        "url_length": -F.length(F.coalesce(F.try_url_decode("url"), F.col("url"))), "https": F.lower("url").startswith("https:"),
+    }
+    key = {"none": F.lit(""), "host": host_of(F.col("url")), "domain": domain_of(host_of(F.col("url")))}[group]
+    d = df.withColumn("__rank", F.struct(*[criteria[c].alias(c) for c in order])).withColumn("__g", F.coalesce(key, F.lit("")))
     best = d.where(part).groupBy("signature", "__g").agg(F.max("__rank").alias("__best"))
     part = F.coalesce(part, F.lit(False))
     # records that take no part, such as all those without a signature, don't go through the join

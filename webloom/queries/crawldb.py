@@ -97,6 +97,11 @@ def dedup_signature_host(spark, folder):
     return C.deduplicate(_signed(spark, folder), "host").where("duplicate").select("url", "signature")
 
 
+def dedup_signature_domain(spark, folder):
+    """Duplicates within a registered domain: https first, then the newer fetch."""
+    return C.deduplicate(_signed(spark, folder), "domain", ("https", "fetch_time", "score")).where("duplicate").select("url", "signature")
+
+
 def _seeds(spark, folder):
     t = table(spark, folder, "cc_records")
     n = F.min("rec_id")
@@ -207,7 +212,7 @@ def score_opic(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     crawldb_stats, crawldb_score_stats, crawldb_score_quantiles, crawldb_newest, crawldb_dump_filtered, crawldb_sample, crawldb_dump_json, crawldb_dump_csv, crawldb_top, crawldb_purge,
-    generate_fetch_list, generate_rejects, generate_marked, dedup_signature, dedup_signature_host, update_round, schedule_adaptive, crawldb_merge, host_update, host_filter, host_score_stats,
+    generate_fetch_list, generate_rejects, generate_marked, dedup_signature, dedup_signature_host, dedup_signature_domain, update_round, schedule_adaptive, crawldb_merge, host_update, host_filter, host_score_stats,
     host_failures, host_overdue, crawl_completion, protocol_status, fetch_order, latency_digest, score_orphans, score_opic,
 )} | {f"inject_{m}": _inject(m) for m in ("keep", "overwrite", "update")} | {f"domain_stats_{m}": _domains(m) for m in ("host", "domain", "suffix", "tld")}
 
@@ -246,6 +251,7 @@ from (select *, case when not isnan(score) then score end as s, cast(floor(epoch
     "generate_marked": f"{_GEN} select db.url, f.url is not null as generated from db left join (select url from f where place <= 500) f on db.url = f.url",
     "dedup_signature": _DEDUP % "''",
     "dedup_signature_host": _DEDUP % _HOST,
+    "dedup_signature_domain": (_DEDUP % f"regexp_extract({_HOST}, '([^.]+\\.)?[^.]+$')").replace("s desc, fetch_time desc, length(url)", "starts_with(url, 'https:') desc, fetch_time desc, s desc"),
     "update_round": f"""{DB}, cc as (select url, case when response_status = 200 then 33 when response_status = 301 then 36 when response_status = 302 then 35 when response_status = 304 then 38 when response_status in (404, 410) then 37 when response_status is null then 69 else 34 end as fs,
 imported as fetched_at, record_key as nsig from (select *, row_number() over (partition by url order by rec_id desc) as k from cc_records) where k = 1),
 li as (select url, cast(count(distinct from_url) as double) as ls from inlinks group by url),
