@@ -26,7 +26,7 @@ def profile_signature(text: Column, rate: float = 0.01, shortest: int = 2) -> Co
     The step is ``rate`` of the largest number, but at least 2 (1 if no word recurs); words under the step are left out.
     """
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]+", " "), " "), lambda w: F.length(w) > shortest)
-    got = F.array_sort(words)
+    got = F.sort_array(words)
 
     def counted(ws: Column) -> Column:
         # where each word begins among the sorted ones; its number is the distance to the next
@@ -38,7 +38,7 @@ def profile_signature(text: Column, rate: float = 0.01, shortest: int = 2) -> Co
         most = F.coalesce(F.array_max(F.transform(c, lambda x: x["n"])), F.lit(0))
         step = F.greatest(F.round(most * rate).cast("int"), F.when(most > 1, 2).otherwise(1))
         kept = F.filter(F.transform(c, lambda x: F.struct((-F.floor(x["n"] / step) * step).cast("int").alias("n"), x["w"].alias("w"))), lambda x: -x["n"] >= step)
-        return F.md5(F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat_ws(" ", x["w"], (-x["n"]).cast("string"))), "\n"))
+        return F.md5(F.array_join(F.transform(F.sort_array(kept), lambda x: F.concat_ws(" ", x["w"], (-x["n"]).cast("string"))), "\n"))
 
     return F.get(F.transform(F.transform(F.array(got), counted), profile), F.lit(0))
 
